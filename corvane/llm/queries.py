@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.sql import SQL  # noqa: F401
 from corvane.tables import table
 
 
@@ -16,5 +17,46 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(F.col("record_id").alias("cand_id"), "term").distinct()
 
 
-QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that are too large and come out in pieces."""
+    return p4_pieces(spark, d).select("chunk_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of oversized chunks."""
+    from corvane.llm.splitting import oversized_pieces
+
+    return oversized_pieces(table(spark, d, "included_chunk"), table(spark, d, "candidate"))
+
+
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of code and of symbol names with its counts and verdict."""
+    from corvane.llm.term_frequency import term_frequencies
+
+    code = term_frequencies(table(spark, d, "candidate"), "code", id_col="cand_id").withColumn("field", F.lit("code"))
+    files = table(spark, d, "files").where("symbols is not null").select(F.col("symbols.name").alias("names"))
+    symbol = term_frequencies(files, "names").withColumn("field", F.lit("symbol"))
+    return code.unionByName(symbol).select("field", "term", "occurrences", "records", "verdict")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Terms too rare or too common to be of use."""
+    return p5_terms(spark, d).where("verdict is not null").select("field", "term", "verdict")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that can't reach their weight even with all repeats."""
+    from corvane.llm.mixing import source_plan
+
+    return source_plan(table(spark, d, "documents"), table(spark, d, "mix_target")).where("short").select("source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mix really reaches."""
+    from corvane.llm.mixing import reached_shares
+
+    return reached_shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p5_found, p5_terms, p7_found, p7_shares)}
+
