@@ -17,6 +17,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(F.col("record_id").alias("cand_id"), "term").distinct()
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with their documentation."""
+    from corvane.llm.function_docs import documented_functions
+
+    return documented_functions(table(spark, d, "files"), table(spark, d, "file_text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of files.symbols that have documentation."""
+    return p3_pairs(spark, d).select("file_id", "sym_line").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that are too large and come out in pieces."""
     return p4_pieces(spark, d).select("chunk_id").distinct()
@@ -44,6 +56,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_terms(spark, d).where("verdict is not null").select("field", "term", "verdict")
 
 
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of a test item, with the number of its windows found."""
+    from corvane.llm.leaks import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked test items by document."""
+    return p6_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources that can't reach their weight even with all repeats."""
     from corvane.llm.mixing import source_plan
@@ -58,5 +82,5 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p5_found, p5_terms, p7_found, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_shares)}
 
