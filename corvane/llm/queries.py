@@ -17,6 +17,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(F.col("record_id").alias("cand_id"), "term").distinct()
 
 
+def p2_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its layout statistics and, if nobody wrote it by hand, the reason."""
+    from corvane.llm.generated_files import judged_files
+
+    return judged_files(table(spark, d, "files"), table(spark, d, "file_text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are not hand-written source of their repo."""
+    return p2_judged(spark, d).where("reason is not null").select("file_id").distinct()
+
+
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Functions with their documentation."""
     from corvane.llm.function_docs import documented_functions
@@ -82,5 +94,5 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_shares)}
 
