@@ -94,5 +94,19 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text lost its end."""
+    from corvane.llm.truncation import truncated_texts
+
+    return truncated_texts(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts texts."""
+    from corvane.llm.truncation import truncation_rates
+
+    return truncation_rates(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_shares, p8_found, p8_rates)}
 
