@@ -24,3 +24,61 @@ def detect_lang(path: Column) -> Column:
     base = F.lower(F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1))
     known = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
     return F.when(path.isNotNull(), F.coalesce(F.try_element_at(known, F.regexp_extract(base, r"\.[^.]*$", 0)), F.lit("text")))
+
+
+# Patterns of declarations, by kind; group 1 is the name.  A word of an identifier:
+_ID = r"[A-Za-z_$][\w$]*"
+_JS_SYMBOLS = [
+    ("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+({_ID})\s*\("),
+    ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_ID})"),
+    ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|{_ID})\s*(?::[^=]+)?=>"),
+    ("const", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*(?::[^=]+)?=(?!.*=>)"),
+    (
+        "method",
+        r"^\s+(?:static\s+)?(?:public\s+|private\s+|protected\s+)?(?:async\s+)?(?:get\s+|set\s+)?"
+        rf"(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)({_ID})\s*\(([^()]*)\)\s*(?::[^\{{]+)?\{{",
+    ),
+    ("other", rf"^\s*export\s+default\s+({_ID})\s*;?\s*$"),
+    ("other", rf"^\s*(?:module\.)?exports\.({_ID})\s*="),
+]
+_TS_SYMBOLS = [
+    *_JS_SYMBOLS,
+    ("type", rf"^\s*(?:export\s+)?interface\s+({_ID})"),
+    ("type", rf"^\s*(?:export\s+)?type\s+({_ID})\s*(?:<[^=]*>)?\s*="),
+]
+_PY_SYMBOLS = [
+    ("def", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\("),
+    ("class", r"^\s*class\s+([A-Za-z_]\w*)\s*[:(]"),
+]
+_OTHER_SYMBOLS = [
+    ("function", r"^\s*(?:pub\s+|public\s+|private\s+|protected\s+|static\s+)*(?:func|fn|def|function)\s+([A-Za-z_]\w*)\s*\("),
+    ("class", r"^\s*(?:public\s+|private\s+|protected\s+|abstract\s+|final\s+)*class\s+([A-Za-z_]\w*)"),
+    ("other", r"^\s*(?:public\s+|private\s+|protected\s+)?(?:static\s+)?(?:interface|struct|enum|trait|module)\s+([A-Za-z_]\w*)"),
+]
+# Patterns of imports; group 1 is the specifier as written.
+_JS_IMPORTS = [
+    r"^\s*import\s+[^'\"]*from\s+['\"]([^'\"]+)['\"]",
+    r"^\s*import\s+['\"]([^'\"]+)['\"]",
+    r"^\s*export\s+[^'\"]*from\s+['\"]([^'\"]+)['\"]",
+    r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)",
+    r"\bimport\(\s*['\"]([^'\"]+)['\"]\s*\)",
+]
+_PY_IMPORTS = [r"^\s*from\s+([.\w]+)\s+import\b", r"^\s*import\s+([A-Za-z_][\w.]*)"]
+_OTHER_IMPORTS = [
+    r"^\s*import\s+\"([^\"]+)\"",
+    r"^\s*import\s+([\w.]+)\s*;",
+    r"^\s*use\s+([\w:]+)",
+    r"^\s*use\s+([\w\\]+)\s*;",
+    r"^\s*require(?:_relative)?\s*['\"]?([^'\";\s]+)['\"]?",
+    r"^\s*#include\s*[<\"]([^>\"]+)[>\"]",
+    r"^\s*using\s+([\w.]+)\s*;",
+]
+
+#: The languages of each family; any other has the last family's rules.
+FAMILIES = {"js": ("js", "jsx"), "ts": ("ts", "tsx"), "py": ("py",)}
+SYMBOL_RULES = {"js": _JS_SYMBOLS, "ts": _TS_SYMBOLS, "py": _PY_SYMBOLS, "other": _OTHER_SYMBOLS}
+IMPORT_RULES = {"js": _JS_IMPORTS, "ts": _JS_IMPORTS, "py": _PY_IMPORTS, "other": _OTHER_IMPORTS}
+
+
+def family_py(lang: str | None) -> str:
+    return next((f for f, langs in FAMILIES.items() if lang in langs), "other")
