@@ -26,6 +26,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.durable import staged
+
 MIN_INSIDE = 200
 TRUSTED_INSIDE = 2000
 MAX_END_RATE = 0.002
@@ -143,8 +145,8 @@ def judged_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, source, by_limit, by_trigram) for each text that is judged: whether each of the two signs shows a cut."""
     spark = documents.sparkSession
     docs = documents.where("text is not null").select("doc_id", "source", "text")
-    counts = _sql(spark, _ALL, docs=docs)
-    last = _sql(spark, _LAST, docs=docs)
+    counts = staged(_sql(spark, _ALL, docs=docs), "trigram-counts")  # read twice below
+    last = staged(_sql(spark, _LAST, docs=docs), "last-trigrams")  # read four times below
     judged = _sql(spark, _JUDGED, last=last, counts=counts)
     limits = _sql(spark, _LIMITS, last=last)
     return _sql(spark, _CUT, last=last, judged=judged, limits=limits)
