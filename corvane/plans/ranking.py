@@ -39,7 +39,7 @@ def symbol_matches(query: Column, symbol: Column) -> Column:
 
 
 def _order() -> list[Column]:
-    return [F.desc("score"), F.asc("path"), F.asc("start_line")]
+    return [F.desc("score"), F.asc("path"), F.asc("start_line"), F.asc("chunk_id")]
 
 
 def score_chunks(index: Index, tasks: DataFrame) -> DataFrame:
