@@ -12,7 +12,8 @@ A cut may fall on the end of a sentence, which no trigram shows.  Such cuts are
 found by the pile-up they leave: lengths of a source that gather at its upper end,
 in characters or in bytes, far above the density below.  A text at the limit
 counts as cut; where the limit moves to word ends, only if it doesn't end in closed
-markup.
+markup.  A text that stops in the middle of a tag, link or template, in half a
+character or in white space is cut whatever its last trigram.
 
 Defined results: null and blank texts are not judged, nor are redirects; a null
 source is a source of its own; an end seen too seldom to judge (fewer than
@@ -40,6 +41,9 @@ MIN_PILED, PILE_FACTOR = 5, 6
 
 _MARK = r"\\s*(\\.\\.\\.|…|\\[(more|\\.\\.\\.|…|truncated|cut|continued)\\]|\\((more|\\.\\.\\.|…|truncated|cut|continued)\\)|&hellip;)\\s*$"
 
+# Ends at which no text stops by itself: white space, half a character, markup that its own line doesn't close.
+_OPEN = r"(\\s|�|[\\[{<]|\\[\\[[^\\[\\]\\n]*|\\{\\{[^{}\\n]*|<[^<>\\n]*)$"
+
 
 def _shape(text: str) -> str:
     """SQL for a text with its words and numbers replaced by their classes."""
@@ -70,10 +74,10 @@ WHERE c IS NOT NULL GROUP BY a, b, c
 
 # The last trigram of each text; only the tail decides it.
 _LAST = f"""
-SELECT doc_id, source, chars, bytes, marked, spaced,
+SELECT doc_id, source, chars, bytes, marked, open,
     coalesce(try_element_at(t, -3), '^') AS a, coalesce(try_element_at(t, -2), '^') AS b, try_element_at(t, -1) AS c
 FROM (
-    SELECT doc_id, source, chars, bytes, tail RLIKE '{_MARK}' AS marked, tail RLIKE '\\\\s$' AS spaced,
+    SELECT doc_id, source, chars, bytes, tail RLIKE '{_MARK}' AS marked, tail RLIKE '{_OPEN}' AS open,
         regexp_extract_all({_shape(f"regexp_replace(tail, '{_MARK}', '')")}, '{_TOKEN}', 1) AS t
     FROM (SELECT doc_id, source, length(text) AS chars, octet_length(text) AS bytes, right(text, {TAIL_CHARS}) AS tail
         FROM {{docs}} WHERE trim(text) != '' AND NOT ltrim(text) ILIKE '#redirect%'))
@@ -113,21 +117,22 @@ FROM near WHERE piled >= {MIN_PILED} AND piled / {WINDOW} >= {PILE_FACTOR} * gre
 """
 
 _ENDED = "c IN ('.', '|}', '-->', '</r>', '<r/>') OR c LIKE '}}%'"
-_CLOSED = "c IN (']]', '|}', '-->') OR c LIKE '}}%' OR c LIKE '==%' OR c = ')'"
+_CLOSED = "{0}c IN (']]', '|}', '-->') OR {0}c LIKE '}}%' OR {0}c LIKE '==%' OR {0}c = ')'"
 
 _CUT = f"""
 WITH by_source AS (
     SELECT source, max(CASE WHEN unit = 'chars' THEN struct(top, mode, sharp) END) AS in_chars,
         max(CASE WHEN unit = 'bytes' THEN struct(top, mode, sharp) END) AS in_bytes FROM {{limits}} GROUP BY source),
 placed AS (
-    SELECT d.doc_id, d.source, d.marked, d.spaced, d.c, coalesce(j.internal, false) AS internal,
-        coalesce(in_chars.sharp AND chars >= in_chars.mode OR in_bytes.sharp AND bytes >= in_bytes.mode - 3, false) AS at_limit,
-        coalesce(NOT in_chars.sharp AND chars > in_chars.top - {WINDOW} OR NOT in_bytes.sharp AND bytes > in_bytes.top - {WINDOW}, false) AS near_limit
+    SELECT d.doc_id, d.source, d.marked, d.open, d.c, coalesce(j.internal, false) AS internal,
+        coalesce(in_chars.sharp AND chars >= in_chars.mode OR in_bytes.sharp AND (bytes >= in_bytes.mode OR bytes >= in_bytes.mode - 3 AND NOT ({_CLOSED.replace('{0}', 'd.')})), false) AS at_limit,
+        coalesce(NOT in_chars.sharp AND chars > in_chars.top - {WINDOW} OR NOT in_bytes.sharp AND bytes > in_bytes.top - {WINDOW}
+            OR marked AND (NOT in_chars.sharp AND chars > in_chars.top - {2 * WINDOW} OR NOT in_bytes.sharp AND bytes > in_bytes.top - {2 * WINDOW}), false) AS near_limit
     FROM {{last}} d LEFT JOIN {{judged}} j ON d.a = j.a AND d.b = j.b AND d.c = j.c
     LEFT JOIN by_source s ON d.source <=> s.source)
 SELECT doc_id, source,
-    at_limit OR near_limit AND (marked OR NOT ({_CLOSED})) AS by_limit,
-    internal AND NOT ({_ENDED}) OR spaced AS by_trigram
+    at_limit OR near_limit AND (marked OR NOT ({_CLOSED.replace('{0}', '')})) AS by_limit,
+    internal AND NOT ({_ENDED}) OR open AS by_trigram
 FROM placed
 """
 
