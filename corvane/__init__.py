@@ -9,7 +9,9 @@ _API = {
     "rank": "corvane.plans.ranking",
     "rank_tasks": "corvane.plans.ranking",
     "pack": "corvane.plans.pack",
-    "outline_rows": "corvane.operators.outline",
+    "outline_repo": "corvane.operators.outline",
+    "outline_file": "corvane.operators.outline",
+    "query": "corvane.engine",
     "load_index": "corvane.sources.store",
     "save_index": "corvane.sources.store",
     "scan_tree": "corvane.sources.scan",

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import Config, load_config
+from corvane.durable import staged
+from corvane.operators import outline
 from corvane.operators.graph import neighbors as graph_neighbors
-from corvane.operators.outline import lang_stats, outline_rows
 from corvane.plans import pack as packing
 from corvane.plans import ranking
 from corvane.plans.index import Index, build_index
@@ -49,8 +50,8 @@ class Engine:
 
     def build(self, *, save: bool = True) -> Index:
         """Scan and index the tree; unless ``save`` is off, persist the index and use the persisted tables."""
-        texts = scan_tree(self.spark, self.root, self.config.max_file_size)
-        index = build_index(texts, max_lines=self.config.chunk_max_lines)
+        texts = staged(scan_tree(self.spark, self.root, self.config.max_file_size), "texts")
+        index = build_index(texts, max_lines=self.config.chunk_max_lines, keep=staged)
         if save:
             save_index(self.root, index, texts)
             self._stamp = None
@@ -85,17 +86,10 @@ class Engine:
         return packing.pack(self.index, self.texts, task, budget=limit, top=ranking.DEFAULT_TOP if top is None else top, include_tests=include_tests)
 
     def outline_file(self, path: str) -> str | None:
-        """A file and its symbols, or None if it isn't indexed."""
-        if not self.index.files.where(F.col("path") == path).limit(1).count():
-            return None
-        rows = self.index.symbols.where(F.col("path") == path).orderBy("ord").collect()
-        return "\n".join([path, *(f"  {r['kind']} {r['name']}  (L{r['line']}-L{r['end_line']})" for r in rows)])
+        return outline.outline_file(self.index, path)
 
     def outline_tree(self, directory: str | None = None) -> str:
-        rows = outline_rows(self.index.files, self.index.symbols, [], directory).orderBy("sort_key").collect()
-        if not rows and directory:
-            return f"(no files under {directory.rstrip('/')})"
-        return "\n".join(r["line"] for r in rows)
+        return outline.outline_repo(self.index, directory)
 
     def neighbors(self, path: str, depth: int = 1) -> dict[str, list[str]]:
         start = self.spark.range(1).select(F.lit(path).alias("start"))
@@ -121,8 +115,13 @@ class Engine:
 
     def stats(self) -> tuple[int, int, list[tuple[str, int]]]:
         """Files, chunks, and files by language, most first."""
-        langs = lang_stats(self.index.files, []).orderBy(F.desc("files"), "lang").collect()
+        langs = outline.lang_stats(self.index.files, []).orderBy(F.desc("files"), "lang").collect()
         return sum(r["files"] for r in langs), self.index.chunks.count(), [(r["lang"], r["files"]) for r in langs]
 
 
-__all__ = ["Engine", "NoIndex", "session"]
+def query(root: str | Path, task: str, *, top: int | None = None, include_tests: bool = False) -> list[ranking.Result]:
+    """The best chunks of an indexed tree for a task."""
+    return Engine(root).query(task, top=top, include_tests=include_tests)
+
+
+__all__ = ["Engine", "NoIndex", "query", "session"]

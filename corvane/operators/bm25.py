@@ -71,7 +71,11 @@ def bm25_scores(
     """
     by = [*keys, "term"]
     known = terms.join(dfs, by)
-    known = known.join(stats, keys) if keys else known.crossJoin(F.broadcast(stats))  # without keys, one row of totals
+    if keys:
+        known = known.join(stats, keys)
+    else:  # a single corpus: two numbers
+        total = stats.first()
+        known = known.withColumn("n", F.lit(total["n"])).withColumn("avgdl", F.lit(total["avgdl"]))
     known = known.where(idf(F.col("n"), F.col("df")) > 0)
     hits = known.join(index, by).join(lengths.select("chunk_id", "doc_len"), "chunk_id", "left")
     part = contribution(F.col("tf"), F.coalesce("doc_len", F.lit(0)), F.col("df"), F.col("n"), F.col("avgdl"), F.col("q_count"), k1, b)

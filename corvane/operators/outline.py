@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from corvane.plans.index import Index
+
 
 def symbol_summaries(symbols: DataFrame, keys: list[str]) -> DataFrame:
     """(keys…, path, summary): ``kind name`` of a file's symbols, in order."""
@@ -46,6 +51,22 @@ def outline_rows(files: DataFrame, symbols: DataFrame, keys: list[str], director
     return leaf.unionByName(dirs).select(*keys, "sort_key", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth")), "_text").alias("line"))
 
 
+def outline_repo(index: Index, directory: str | None = None) -> str:
+    """The tree of a single corpus as text; a line that says so if nothing lies under ``directory``."""
+    rows = outline_rows(index.files, index.symbols, [], directory).orderBy("sort_key").collect()
+    if not rows and directory:
+        return f"(no files under {directory.rstrip('/')})"
+    return "\n".join(r["line"] for r in rows)
+
+
+def outline_file(index: Index, path: str) -> str | None:
+    """A file and its symbols with their lines, or None if it isn't indexed."""
+    if not index.files.where(F.col("path") == path).limit(1).count():
+        return None
+    rows = index.symbols.where(F.col("path") == path).orderBy("ord").collect()
+    return "\n".join([path, *(f"  {r['kind']} {r['name']}  (L{r['line']}-L{r['end_line']})" for r in rows)])
+
+
 def lang_stats(files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys…, lang, files)."""
     return files.groupBy(*keys, "lang").agg(F.count(F.lit(1)).alias("files"))

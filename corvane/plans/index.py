@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark import StorageLevel
@@ -47,8 +48,13 @@ def chunk_texts(chunks: DataFrame, texts: DataFrame, keys: list[str]) -> DataFra
     return both.withColumn("text", line_slice(F.col("_full"), F.col("start_line"), F.col("end_line"))).drop("_full")
 
 
-def build_index(texts: DataFrame, keys: list[str] | None = None, *, max_lines: float | None = DEFAULT_MAX_LINES) -> Index:
-    """Index of (keys…, path, text[, lang][, size]); a path is unique within its keys, rows with null text are left out."""
+def build_index(
+    texts: DataFrame, keys: list[str] | None = None, *, max_lines: float | None = DEFAULT_MAX_LINES, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+) -> Index:
+    """Index of (keys…, path, text[, lang][, size]); a path is unique within its keys, rows with null text are left out.
+
+    ``keep`` is applied to each table that others are made of; ``staged`` there computes each of them once.
+    """
     keys = keys or []
     t = texts.where(F.col("text").isNotNull() & F.col("path").isNotNull())
     if "lang" not in t.columns:
@@ -61,13 +67,14 @@ def build_index(texts: DataFrame, keys: list[str] | None = None, *, max_lines: f
         files = files.withColumn("file_index", position)
     else:  # one corpus: number the paths by range partition, not in one window
         files = _numbered(files, "path", "file_index")
-    symbols = extract_symbols(t, [*keys, "path"])
-    imports = extract_imports(t, [*keys, "path"])
+    files = keep(files, "files")
+    symbols = keep(extract_symbols(t, [*keys, "path"]), "symbols")
+    imports = keep(extract_imports(t, [*keys, "path"]), "imports")
     ranges = chunk_ranges(files, symbols, [*keys, "path"], max_lines).join(files.select(*keys, "path", "file_index"), [*keys, "path"])
     name = F.concat_ws(":", *keys, "file_index", "chunk_index") if keys else F.concat_ws(":", "file_index", "chunk_index")
-    chunks = ranges.withColumn("chunk_id", name)
-    postings = bm25.postings(chunk_texts(chunks, t, keys), keys)
-    lengths = bm25.doc_lengths(chunks, keys, postings)
+    chunks = keep(ranges.withColumn("chunk_id", name), "chunks")
+    postings = keep(bm25.postings(chunk_texts(chunks, t, keys), keys), "postings")
+    lengths = keep(bm25.doc_lengths(chunks, keys, postings), "lengths")
     full = chunks.join(lengths.select("chunk_id", "doc_len"), "chunk_id")
     return Index(
         files=files,

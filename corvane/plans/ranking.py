@@ -88,8 +88,11 @@ def rank_tasks(index: Index, tasks: DataFrame, *, top: Column | int = DEFAULT_TO
     )
     priority = F.lit(1.0) if include_tests else source_priority(F.col("path"))
     final = boosted.withColumn("priority", priority).withColumn("score", F.when(F.col("priority") != 1.0, F.col("score") * F.col("priority")).otherwise(F.col("score")))
-    limits = tasks.select("task_id", limit.cast("int").alias("_top"))
-    ranked = final.withColumn("rank", F.row_number().over(W.partitionBy("task_id").orderBy(*_order()))).join(limits, "task_id").where("rank <= _top")
+    # A literal bound lets each partition keep only so many rows of a task before they are shuffled.
+    most = tasks.agg(F.max(limit)).first()[0] or 0 if isinstance(top, Column) else check_top(top)
+    ranked = final.withColumn("rank", F.row_number().over(W.partitionBy("task_id").orderBy(*_order()))).where(F.col("rank") <= F.lit(int(most)))
+    if isinstance(top, Column):
+        ranked = ranked.join(tasks.select("task_id", limit.cast("int").alias("_top")), "task_id").where("rank <= _top")
     return ranked.select(
         "task_id", *keys, "rank", "chunk_id", "path", "start_line", "end_line", "symbol", "score", "bm25", "matched", "graph_source", "priority"
     )

@@ -9,8 +9,9 @@ from pathlib import Path
 from corvane.config import HOME
 from corvane.engine import Engine
 from corvane.plans.ranking import fixed
+from corvane.serving.color import styler
 from corvane.serving.tools import result_line
-from corvane.sources.store import results_json
+from corvane.sources.store import export_json, results_json
 
 VERSION = "0.1.0"
 
@@ -23,7 +24,9 @@ class _Parser(argparse.ArgumentParser):
 def parser() -> argparse.ArgumentParser:
     p = _Parser(prog="corvane", description="The slice of a codebase that matters for a task.")
     sub = p.add_subparsers(dest="command", parser_class=_Parser)
-    sub.add_parser("index", help="build the index of a tree").add_argument("path", nargs="?", default=".")
+    index = sub.add_parser("index", help="build the index of a tree")
+    index.add_argument("path", nargs="?", default=".")
+    index.add_argument("--json", action="store_true", help="also write the index as one JSON document")
     ask = sub.add_parser("ask", help="rank the codebase for a task")
     ask.add_argument("task", nargs="+")
     ask.add_argument("--top", type=float)
@@ -47,11 +50,13 @@ def _run(a: argparse.Namespace) -> None:
     engine = Engine(Path(a.path) if a.command == "index" else Path.cwd())
     if a.command == "index":
         engine.build()
+        if a.json:
+            export_json(engine.root, engine.index)
         files, chunks, _ = engine.stats()
         print(f"indexed {files} files, {chunks} chunks → {HOME}/index")
     elif a.command == "ask":
         results = engine.query(" ".join(a.task), top=engine.config.top if a.top is None else a.top, include_tests=a.tests)
-        print(results_json(results) if a.json else "\n".join(result_line(r, lambda s: fixed(s, 2)) for r in results))
+        print(results_json(results) if a.json else "\n".join(result_line(r, lambda s: fixed(s, 2), styler(sys.stdout)) for r in results))
     elif a.command == "pack":
         budget = engine.config.budget if a.budget is None else a.budget
         bundle = engine.pack(" ".join(a.task), budget=budget, include_tests=a.tests)

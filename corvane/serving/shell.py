@@ -7,6 +7,7 @@ from typing import TextIO
 
 from corvane.engine import Engine
 from corvane.plans.ranking import Result, fixed
+from corvane.serving.color import styler
 from corvane.serving.tools import result_line
 
 HELP = "type a query · a number opens that result · p <query> packs · q quits"
@@ -22,6 +23,7 @@ def preview(engine: Engine, r: Result) -> str:
 
 def run(engine: Engine, top: int | None = None, source: TextIO = sys.stdin, sink: TextIO = sys.stdout) -> None:
     limit = min(engine.config.top, 10) if top is None else top
+    style = styler(sink)
     engine.build_if_missing()
     files, chunks, _ = engine.stats()
     print(f"corvane · {engine.root.name} · {files} files, {chunks} chunks\n{HELP}", file=sink)
@@ -42,7 +44,7 @@ def run(engine: Engine, top: int | None = None, source: TextIO = sys.stdin, sink
             elif line:
                 last = engine.query(line, top=limit)
                 for i, r in enumerate(last, 1):
-                    print(f"{i:>2}  {result_line(r, lambda s: fixed(s, 2))}", file=sink)
+                    print(f"{i:>2}  {result_line(r, lambda s: fixed(s, 2), style)}", file=sink)
                 if not last:
                     print("no matches", file=sink)
         except Exception as e:  # noqa: BLE001 - the shell goes on

@@ -36,8 +36,9 @@ def shown_score(score: float) -> str:
     return str(int(score)) if score == int(score) else fixed(score, 2)
 
 
-def result_line(r: Result, score: Callable[[float], str] = shown_score) -> str:
-    return f"{r.file}:L{r.start_line}-{r.end_line}{f' [{r.symbol}]' if r.symbol else ''} {score(r.score)}"
+def result_line(r: Result, score: Callable[[float], str] = shown_score, style: Callable[[str, str], str] = lambda style, text: text) -> str:
+    symbol = f" {style('magenta', f'[{r.symbol}]')}" if r.symbol else ""
+    return f"{style('cyan', r.file)}{style('dim', f':L{r.start_line}-{r.end_line}')}{symbol} {style('dim', score(r.score))}"
 
 
 def _text(args: dict, name: str, tool: str) -> str:

@@ -1,21 +1,21 @@
-"""Keeping an index fresh: which files changed, and an index fed by a stream of file versions.
+"""Keeping an index fresh: which files changed, and a table of texts fed by a stream of file versions.
 
 A stream of (keys…, path, text, version) rows is reduced, batch by batch, to the
-newest version of each path; postings of changed paths are replaced and all
-others are left alone.  Batches may be replayed: a version that isn't newer than
-the stored one changes nothing.
+newest version of each path, from which an index is built.  Batches may be
+replayed: a version that isn't newer than the stored one changes nothing.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corvane.durable import staged
 from corvane.functions.textops import content_hash
 
 
@@ -34,30 +34,38 @@ def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+BUCKETS = 256
+
+
 class FileTable:
-    """The newest text of each path, as a directory of Parquet generations with a pointer to the current one."""
+    """The newest text of each path, as Parquet in ``BUCKETS`` buckets by the hash of the path.
+
+    An upsert reads and rewrites only the buckets that its batch touches; each is replaced as the job commits.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str]):
         self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
-        self._current: str | None = None
+
+    def _stored(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.folder)
+        except AnalysisException:  # nothing stored yet
+            return None
 
     def read(self) -> DataFrame | None:
-        if self._current is None:
-            pointer = f"{self.folder}/current"
-            try:
-                self._current = self.spark.read.text(pointer).first()[0]
-            except Exception:  # noqa: BLE001 - no generation yet
-                return None
-        return self.spark.read.parquet(self._current)
+        stored = self._stored()
+        return None if stored is None else stored.drop("bucket")
 
     def upsert(self, batch: DataFrame) -> None:
-        fresh = newest(batch.where("path is not null").withColumn("hash", content_hash(F.col("text"))), self.keys)
-        old = self.read()
-        both = fresh if old is None else newest(old.unionByName(fresh, allowMissingColumns=True), self.keys)
-        path = f"{self.folder}/generation-{uuid.uuid4().hex}"
-        both.write.parquet(path)
-        self.spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
-        self._current = path
+        keyed = batch.where("path is not null").withColumn("hash", content_hash(F.col("text")))
+        fresh = staged(newest(keyed, self.keys).withColumn("bucket", F.pmod(F.xxhash64(*self.keys, "path"), F.lit(BUCKETS)).cast("int")), "stream-batch")
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        if not touched:
+            return
+        old = self._stored()
+        both = fresh if old is None else newest(old.where(F.col("bucket").isin(touched)).unionByName(fresh, allowMissingColumns=True), [*self.keys, "bucket"])
+        ready = staged(both, "stream-buckets") if old is not None else both
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
 
 
 def refresh_stream(stream: DataFrame, target: FileTable, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

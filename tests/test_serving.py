@@ -5,9 +5,11 @@ import json
 
 import pytest
 
+import corvane
 from corvane.config import Config, ConfigError, load_config
 from corvane.engine import Engine, NoIndex
 from corvane.serving import cli, server, shell
+from corvane.serving.color import enabled, styler
 from corvane.serving.tools import TOOLS, call_tool
 from corvane.streaming.refresh import FileTable, changed_files, refresh_stream
 
@@ -76,6 +78,25 @@ def test_cli(engine, root, monkeypatch, capsys):
     assert cli.main([]) == 0 and cli.main(["version"]) == 0
 
 
+def test_colours():
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    assert not enabled(Terminal(), {"NO_COLOR": "1", "FORCE_COLOR": "1"}) and enabled(io.StringIO(), {"FORCE_COLOR": "1"}) and not enabled(Terminal(), {"FORCE_COLOR": "0"})
+    assert styler(Terminal(), {})("cyan", "x") == "\x1b[36mx\x1b[39m" and styler(io.StringIO(), {})("cyan", "x") == "x"
+
+
+def test_index_command_and_api(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def alpha():\n    pass\n")
+    assert cli.main(["index", str(tmp_path), "--json"]) == 0
+    doc = json.loads((tmp_path / ".corvane/index.json").read_text())
+    assert doc["fileCount"] == 1 and doc["files"][0]["symbols"] == [{"name": "alpha", "kind": "def", "line": 1, "endLine": 3}]
+    index = corvane.load_index(spark, tmp_path)
+    assert corvane.query(tmp_path, "alpha")[0].symbol == "alpha" and corvane.outline_repo(index) == "a.py (def alpha)" and corvane.outline_file(index, "b") is None
+    assert corvane.rank(index, "alpha")[0].file == "a.py"
+
+
 def test_tools(engine):
     assert [t["name"] for t in TOOLS] == ["corvane_search", "corvane_outline", "corvane_read", "corvane_neighbors", "corvane_pack"]
     assert call_tool("corvane_search", {"query": "login", "top": 1}, engine).startswith("src/login.js:L3-6 [login]")
