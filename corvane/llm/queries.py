@@ -17,6 +17,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(F.col("record_id").alias("cand_id"), "term").distinct()
 
 
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of every record with its score: of the code of candidates, and of the symbols that results show."""
+    from corvane.llm.term_weights import distinctive_terms
+
+    code = distinctive_terms(table(spark, d, "candidate"), "cand_id", "code")
+    shown = table(spark, d, "rank_result").select(F.regexp_replace("symbol", r"\(\)$", "").alias("symbol")).where("symbol != ''")
+    symbols = distinctive_terms(shown.withColumn("name", F.col("symbol")), "name", "symbol")
+    return code.select(F.lit("code").alias("field"), F.col("record_id").cast("string").alias("record"), "term", "score").unionByName(
+        symbols.select(F.lit("symbol").alias("field"), F.col("record_id").alias("record"), "term", "score")
+    )
+
+
 def p2_judged(spark: SparkSession, d: str) -> DataFrame:
     """Every file with its layout statistics and, if nobody wrote it by hand, the reason."""
     from corvane.llm.generated_files import judged_files
@@ -108,5 +120,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_shares, p8_found, p8_rates)}
 

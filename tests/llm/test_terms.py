@@ -105,3 +105,9 @@ def test_radix_splits_large_partitions(spark, monkeypatch, tmp_path):
     assert not list((tmp_path / "spill").iterdir())
     sums = {r.term: r.records for r in radix_sums(spark.createDataFrame(rows, PARTIAL), spark).collect()}
     assert sums[None] == 15 and len(sums) == 701
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("getUser", "getUser"), ("getUser", "getUser"), ("setUserName", "setUserName"), (None, "x")], "name string, symbol string")
+    got = {(r.record_id, r.term) for r in distinctive_terms(df, "name", "symbol").collect()}
+    assert got == {("getUser", t) for t in ("getuser", "get", "user")} | {("setUserName", t) for t in ("setusername", "set", "user", "name")}
