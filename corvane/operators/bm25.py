@@ -7,33 +7,45 @@ query touches the postings of its own terms only.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.functions.textops import raw_words, tokenize_col, word_terms
+from corvane.functions.textops import tokenize, tokenize_col
 
 K1, B = 1.5, 0.75
 
 
-def postings(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys…, chunk_id, term, tf).
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])))
+def _term_counts(texts: pa.Array) -> pa.Array:
+    terms: list[str] = []
+    counts: list[int] = []
+    offsets = [0]
+    for text in texts.to_pylist():
+        tf = Counter(tokenize(text))
+        terms += tf.keys()
+        counts += tf.values()
+        offsets.append(len(terms))
+    rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+
+def forward_index(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys…, chunk_id, doc_len, terms): the terms of each chunk with their counts, in the chunk's own row.
 
-    Raw words are counted per chunk before they are split, so the regular expressions run once for each
-    distinct word of a chunk; both counts happen within the partition of the chunk.
+    Counting in one row needs no shuffle; built-in functions would have to explode the words and group them by
+    chunk, twice.  Null and empty texts have no terms and length 0.
     """
-    words = chunks.where(F.col(text).isNotNull()).select(*keys, "chunk_id", F.explode(raw_words(F.col(text))).alias("_w"))
-    per_word = words.groupBy(*keys, "chunk_id", "_w").agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        per_word.select(*keys, "chunk_id", F.explode(word_terms(F.col("_w"))).alias("term"), "_n")
-        .groupBy(*keys, "chunk_id", "term")
-        .agg(F.sum("_n").cast("int").alias("tf"))
-    )
+    counted = chunks.select(*keys, "chunk_id", _term_counts(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    return counted.select(*keys, "chunk_id", F.aggregate("terms", F.lit(0), lambda n, t: n + t["tf"]).alias("doc_len"), "terms")
 
 
-def doc_lengths(chunks: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
-    """(keys…, chunk_id, doc_len): terms of each chunk, 0 for chunks without any."""
-    n = index.groupBy("chunk_id").agg(F.sum("tf").cast("int").alias("_n"))
-    return chunks.select(*keys, "chunk_id").join(n, "chunk_id", "left").select(*keys, "chunk_id", F.coalesce("_n", F.lit(0)).alias("doc_len"))
+def postings(forward: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, chunk_id, term, tf) of a forward index."""
+    return forward.select(*keys, "chunk_id", F.inline("terms"))
 
 
 def term_df(index: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,7 +54,7 @@ def term_df(index: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def corpus_stats(lengths: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys…, n, avgdl): chunks and their mean length; without keys always one row."""
+    """(keys…, n, avgdl) of (keys…, chunk_id, doc_len): chunks and their mean length; without keys always one row."""
     return lengths.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl"))
 
 

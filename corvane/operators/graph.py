@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.durable import staged
 from corvane.functions.paths import dirname, normalized
 
 # What a relative import may stand for, in order of precedence.
@@ -44,6 +45,7 @@ def neighbors(edges: DataFrame, starts: DataFrame, keys: list[str], depth: int =
     ``direction`` is ``imports`` or ``imported_by``; ``pos`` is the order of discovery; starts are never their own
     neighbours.  ``starts`` holds (keys…, start).
     """
+    edges = staged(edges, "edges") if depth > 1 else edges  # read in each hop
     both = edges.select(*keys, F.lit("imports").alias("direction"), F.col("src").alias("_from"), F.col("dst").alias("path"), F.col("out_pos").alias("_pos")).unionByName(
         edges.select(*keys, F.lit("imported_by").alias("direction"), F.col("dst").alias("_from"), F.col("src").alias("path"), F.col("in_pos").alias("_pos"))
     )

@@ -10,6 +10,22 @@ from corvane.functions.lang import FAMILIES, SYMBOL_RULES
 from corvane.functions.textops import lines
 
 
+# What a line must hold for any rule of its family to match; most lines don't.
+_HINT = {
+    "js": r"\b(?:function|class|const|let|var|default|exports)\b|\)\s*(?::[^{]+)?\{",
+    "ts": r"\b(?:function|class|const|let|var|default|exports|interface|type)\b|\)\s*(?::[^{]+)?\{",
+    "py": r"\b(?:def|class)\b",
+    "other": r"\b(?:func|fn|def|function|class|interface|struct|enum|trait|module)\b",
+}
+
+
+def _promising(line: Column, lang: Column) -> Column:
+    out = line.rlike(_HINT["other"])
+    for family, langs in FAMILIES.items():
+        out = F.when(lang.isin(*langs), line.rlike(_HINT[family])).otherwise(out)
+    return out
+
+
 def _matches(line: Column, lang: Column) -> Column:
     """Array of (rule, name, kind) of the rules of a language that match a line."""
 
@@ -30,7 +46,7 @@ def extract_symbols(texts: DataFrame, keys: list[str]) -> DataFrame:
     next, the last one at the end of the text.  Null texts and empty texts have no symbols.
     """
     rows = texts.where(F.col("text").isNotNull()).select(*keys, "lang", F.size(lines(F.col("text"))).alias("_lines"), F.posexplode(lines(F.col("text"))).alias("_pos", "_row"))
-    found = rows.select(*keys, "_lines", (F.col("_pos") + 1).alias("line"), F.inline(_matches(F.col("_row"), F.col("lang"))))
+    found = rows.where(_promising(F.col("_row"), F.col("lang"))).select(*keys, "_lines", (F.col("_pos") + 1).alias("line"), F.inline(_matches(F.col("_row"), F.col("lang"))))
     once = found.groupBy(*keys, "line", "name").agg(F.min(F.struct("rule", "kind")).alias("_first"), F.max("_lines").alias("_lines"))
     w = W.partitionBy(*keys).orderBy("line", "_first.rule", "name")
     following = F.lead("line").over(w)

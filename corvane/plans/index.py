@@ -73,9 +73,9 @@ def build_index(
     ranges = chunk_ranges(files, symbols, [*keys, "path"], max_lines).join(files.select(*keys, "path", "file_index"), [*keys, "path"])
     name = F.concat_ws(":", *keys, "file_index", "chunk_index") if keys else F.concat_ws(":", "file_index", "chunk_index")
     chunks = keep(ranges.withColumn("chunk_id", name), "chunks")
-    postings = keep(bm25.postings(chunk_texts(chunks, t, keys), keys), "postings")
-    lengths = keep(bm25.doc_lengths(chunks, keys, postings), "lengths")
-    full = chunks.join(lengths.select("chunk_id", "doc_len"), "chunk_id")
+    forward = keep(bm25.forward_index(chunk_texts(chunks, t, keys), keys), "forward")
+    postings = bm25.postings(forward, keys)
+    full = chunks.join(forward.select("chunk_id", "doc_len"), "chunk_id")
     return Index(
         files=files,
         symbols=symbols,
@@ -83,7 +83,7 @@ def build_index(
         chunks=full.select(*keys, "chunk_id", "path", "file_index", "chunk_index", "start_line", "end_line", "symbol", "doc_len"),
         postings=postings,
         terms=bm25.term_df(postings, keys),
-        corpus=bm25.corpus_stats(lengths, keys),
+        corpus=bm25.corpus_stats(forward, keys),
         edges=build_edges(imports, files, keys),
         keys=keys,
     )

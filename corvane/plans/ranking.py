@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.durable import staged
 from corvane.functions.paths import basename, source_priority
 from corvane.functions.textops import identifier_parts
 from corvane.operators import bm25
@@ -31,11 +32,15 @@ def check_top(top: object) -> int:
     return int(top)
 
 
-def symbol_matches(query: Column, symbol: Column) -> Column:
+def symbol_matches(query: Column, pieces: Column) -> Column:
     """Query terms, repeats included, among the pieces of a symbol's name."""
-    return F.when(symbol.isNotNull() & (symbol != ""), F.filter(query, lambda q: F.array_contains(identifier_parts(symbol), q))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.filter(query, lambda q: F.array_contains(pieces, q))
+
+
+def chunk_facts(chunks: DataFrame) -> DataFrame:
+    """What ranking knows of a chunk whatever the task: its place, its symbol's pieces, and its priority as source."""
+    pieces = F.when(F.col("symbol").isNotNull() & (F.col("symbol") != ""), identifier_parts(F.col("symbol"))).otherwise(F.array().cast("array<string>"))
+    return chunks.select("chunk_id", "path", "start_line", "end_line", "symbol", pieces.alias("_pieces"), source_priority(F.col("path")).alias("priority"))
 
 
 def _order() -> list[Column]:
@@ -43,13 +48,13 @@ def _order() -> list[Column]:
 
 
 def score_chunks(index: Index, tasks: DataFrame) -> DataFrame:
-    """Scored chunks of (task_id, keys…, task) before the graph boost: bm25, matched symbols and score with their boost."""
+    """Scored chunks of (task_id, keys…, task) before the graph boost: bm25, matched symbols, score with their boost, and priority."""
     keys = index.keys
     terms = bm25.query_terms(tasks, keys)
     scored = bm25.bm25_scores(terms, index.postings, index.terms, index.chunks, index.corpus, keys)
     listed = tasks.select("task_id", bm25.tokenize_col(F.col("task")).alias("_q"))
-    full = scored.join(index.chunks.select("chunk_id", "path", "start_line", "end_line", "symbol"), "chunk_id").join(listed, "task_id")
-    matched = full.withColumnRenamed("score", "bm25").withColumn("matched", symbol_matches(F.col("_q"), F.col("symbol"))).drop("_q")
+    full = scored.join(chunk_facts(index.chunks), "chunk_id").join(listed, "task_id")
+    matched = full.withColumnRenamed("score", "bm25").withColumn("matched", symbol_matches(F.col("_q"), F.col("_pieces"))).drop("_q", "_pieces")
     boost = F.when(F.size("matched") > 0, F.least(F.lit(SYMBOL_BOOST) * F.size("matched"), F.lit(SYMBOL_CAP))).otherwise(F.lit(0.0))
     return matched.withColumn("score", F.col("bm25") + boost)
 
@@ -81,13 +86,13 @@ def rank_tasks(index: Index, tasks: DataFrame, *, top: Column | int = DEFAULT_TO
     """
     keys = index.keys
     limit = top if isinstance(top, Column) else F.lit(check_top(top))
-    scored = score_chunks(index, tasks)
+    scored = staged(score_chunks(index, tasks), "scored")  # read for the seeds and for the ranks
     near = graph_sources(scored, index.edges, keys)
     boosted = scored.join(near, ["task_id", "path"], "left").withColumn(
         "score", F.when(F.col("graph_source").isNotNull(), F.col("score") + GRAPH_BOOST).otherwise(F.col("score"))
     )
-    priority = F.lit(1.0) if include_tests else source_priority(F.col("path"))
-    final = boosted.withColumn("priority", priority).withColumn("score", F.when(F.col("priority") != 1.0, F.col("score") * F.col("priority")).otherwise(F.col("score")))
+    weighed = boosted.withColumn("priority", F.lit(1.0)) if include_tests else boosted
+    final = weighed.withColumn("score", F.when(F.col("priority") != 1.0, F.col("score") * F.col("priority")).otherwise(F.col("score")))
     # A literal bound lets each partition keep only so many rows of a task before they are shuffled.
     most = tasks.agg(F.max(limit)).first()[0] or 0 if isinstance(top, Column) else check_top(top)
     ranked = final.withColumn("rank", F.row_number().over(W.partitionBy("task_id").orderBy(*_order()))).where(F.col("rank") <= F.lit(int(most)))

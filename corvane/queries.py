@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.durable import staged
 from corvane.functions import textops as X
 from corvane.functions.lang import detect_lang
 from corvane.functions.paths import basename, dirname, ignored, normalized, source_priority
@@ -20,6 +21,7 @@ from corvane.operators.imports import extract_imports
 from corvane.operators.outline import lang_stats, outline_rows
 from corvane.operators.ranges import subtract_covered
 from corvane.operators.symbols import extract_symbols
+from corvane.parallel import spread
 from corvane.plans import pack as packing
 from corvane.plans import ranking
 from corvane.plans.index import Index, build_index
@@ -37,8 +39,9 @@ MAX_SIZE = 8000
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    """(chunk_id, text): each document is a chunk."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    """(chunk_id, doc_len, terms): the forward index of documents, each a chunk."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return bm25.forward_index(spread(docs, "chunk_id"), [])
 
 
 def _newest(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -50,7 +53,7 @@ def _newest(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """(repo, path, text, lang, size) of the last scan of each path."""
-    both = _newest(spark, d).join(table(spark, d, "file_text"), "file_id")
+    both = _newest(spark, d).join(spread(table(spark, d, "file_text"), "file_id"), "file_id")
     return both.select("repo", "path", F.col("content").alias("text")).withColumn("lang", detect_lang(F.col("path")))
 
 
@@ -79,12 +82,12 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 def _index(spark: SparkSession, d: str) -> Index:
     """An index whose chunks are the candidates, one corpus a repo."""
     chunks = _candidates(spark, d)
-    postings = bm25.postings(chunks, REPO)
-    lengths = bm25.doc_lengths(chunks, REPO, postings)
+    forward = staged(bm25.forward_index(chunks, REPO), "forward")
+    postings = bm25.postings(forward, REPO)
     files = _newest(spark, d)
     return Index(
-        files=files, symbols=files, imports=files, chunks=chunks.drop("text").join(lengths.select("chunk_id", "doc_len"), "chunk_id"), postings=postings,
-        terms=bm25.term_df(postings, REPO), corpus=bm25.corpus_stats(lengths, REPO), edges=_edges(spark, d), keys=REPO,
+        files=files, symbols=files, imports=files, chunks=chunks.drop("text").join(forward.select("chunk_id", "doc_len"), "chunk_id"), postings=postings,
+        terms=bm25.term_df(postings, REPO), corpus=bm25.corpus_stats(forward, REPO), edges=_edges(spark, d), keys=REPO,
     )
 
 
@@ -106,13 +109,11 @@ def tokenize_tf(spark: SparkSession, d: str) -> DataFrame:
 
 def token_doc_len(spark: SparkSession, d: str) -> DataFrame:
     """Terms of each document, 0 for documents without any."""
-    docs = _documents(spark, d)
-    return bm25.doc_lengths(docs, [], bm25.postings(docs, [])).select(F.col("chunk_id").alias("doc_id"), "doc_len")
+    return _documents(spark, d).select(F.col("chunk_id").alias("doc_id"), "doc_len")
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = _documents(spark, d)
-    return bm25.corpus_stats(bm25.doc_lengths(docs, [], bm25.postings(docs, [])), []).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return bm25.corpus_stats(_documents(spark, d), []).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def term_df_top(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +183,7 @@ def subtree_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _file_lines(spark: SparkSession, d: str) -> DataFrame:
-    both = table(spark, d, "files").select("file_id", "path").join(table(spark, d, "file_text"), "file_id")
+    both = table(spark, d, "files").select("file_id", "path").join(spread(table(spark, d, "file_text"), "file_id"), "file_id")
     return both.select("file_id", detect_lang(F.col("path")).alias("lang"), F.col("content").alias("text"))
 
 
@@ -214,13 +215,13 @@ def chunk_with_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 def index_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the index built from the texts."""
-    index = build_index(_texts(spark, d), REPO)
+    index = build_index(_texts(spark, d), REPO, keep=staged)
     return index.chunks.select("repo", "path", "chunk_index", "start_line", "end_line", "symbol", "doc_len")
 
 
 def index_summary(spark: SparkSession, d: str) -> DataFrame:
     """Files, chunks and mean chunk length of each repo's index."""
-    index = build_index(_texts(spark, d), REPO)
+    index = build_index(_texts(spark, d), REPO, keep=staged)
     files = index.files.groupBy("repo").agg(F.count(F.lit(1)).alias("files"))
     return files.join(index.corpus, "repo").select("repo", "files", F.col("n").alias("chunks"), F.round("avgdl", 6).alias("avgdl"))
 

@@ -215,9 +215,9 @@ def test_rank_many_tasks_and_repos(spark):
 
 def test_bm25_empty_corpus(spark):
     docs = spark.createDataFrame([], "chunk_id long, text string")
-    index = bm25.postings(docs, [])
-    stats = bm25.corpus_stats(bm25.doc_lengths(docs, [], index), []).first()
-    assert index.count() == 0 and (stats.n, stats.avgdl) == (0, 0.0)
+    forward = bm25.forward_index(docs, [])
+    stats = bm25.corpus_stats(forward, []).first()
+    assert bm25.postings(forward, []).count() == 0 and (stats.n, stats.avgdl) == (0, 0.0)
 
 
 def test_pack(index, texts):
