@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.parallel import spread
+
 WORDS = 12
 BLOCK = 3
 #: Characters of item text searched in one pass; a larger test set is searched in that many passes.
@@ -146,6 +148,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = int(size // PASS_CHARS) + 1
     texts = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = spread(texts, "doc_id")
     out = None
     for k in range(passes):
         block = [(r[0], r[1]) for r in tests.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.durable import staged
+from corvane.parallel import spread
 
 MIN_INSIDE = 200
 TRUSTED_INSIDE = 2000
@@ -149,7 +150,7 @@ def _sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
 def judged_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, source, by_limit, by_trigram) for each text that is judged: whether each of the two signs shows a cut."""
     spark = documents.sparkSession
-    docs = documents.where("text is not null").select("doc_id", "source", "text")
+    docs = spread(documents.where("text is not null").select("doc_id", "source", "text"), "doc_id")
     counts = staged(_sql(spark, _ALL, docs=docs), "trigram-counts")  # read twice below
     last = staged(_sql(spark, _LAST, docs=docs), "last-trigrams")  # read four times below
     judged = _sql(spark, _JUDGED, last=last, counts=counts)
