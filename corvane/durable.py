@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_staged: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,7 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if set_dir := spark.sparkContext.getCheckpointDir():
+        return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local is None:
         _local = tempfile.mkdtemp(prefix="corvane-")
@@ -35,4 +38,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corvane-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Remove the tables that this process has staged so far, once nothing reads them any more; how many there were."""
+    n = len(_staged)
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    while _staged:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(configuration).delete(path, True)
+    return n

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 RAW_WORD = "[A-Za-z0-9]+"
 _RAW = re.compile(RAW_WORD)
-#: A number, an acronym, a capitalised word or a lower-case run.
-_PIECE = re.compile(r"[0-9]+|[A-Z]+(?![a-z])|[A-Z][a-z]+|[a-z]+|[^A-Za-z0-9]+")
-_SEPARATORS = re.compile(r"[_\-]+")
+#: Where a word parts: at separators, before a capital that follows a small letter or starts a word after an acronym,
+#: and between letters and digits.  Java and Python read the expression alike.
+BOUNDARY = r"[_\-]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+_BOUNDARY = re.compile(BOUNDARY)
 MIN_TERM = 2
 
 
@@ -33,19 +34,7 @@ def split_identifier(token: str) -> tuple[str, ...]:
     >>> split_identifier("TOKEN_TTL")
     ('token_ttl', 'token', 'ttl')
     """
-    pieces = [p.lower() for part in _SEPARATORS.split(token) for p in _glued(part)]
-    return tuple(dict.fromkeys([token.lower(), *pieces]))
-
-
-def _glued(part: str) -> list[str]:
-    """Pieces of a separator-free part; characters outside ASCII words stay with their neighbours."""
-    if part.isascii() and part.isalnum():
-        return _PIECE.findall(part)
-    marked = re.sub(r"([a-z])([A-Z])", "\\1\0\\2", part)
-    marked = re.sub(r"([A-Z]+)([A-Z][a-z])", "\\1\0\\2", marked)
-    marked = re.sub(r"([A-Za-z])([0-9])", "\\1\0\\2", marked)
-    marked = re.sub(r"([0-9])([A-Za-z])", "\\1\0\\2", marked)
-    return [p for p in marked.split("\0") if p]
+    return tuple(dict.fromkeys([token.lower(), *(p.lower() for p in _BOUNDARY.split(token) if p)]))
 
 
 @lru_cache(maxsize=1 << 18)
@@ -68,10 +57,7 @@ def raw_words(text: Column) -> Column:
 
 def identifier_parts(token: Column) -> Column:
     """``split_identifier`` as an expression; separators are ``_`` and ``-``."""
-    spaced = F.regexp_replace(token, "[_\\-]+", " ")
-    for pattern in ("([a-z])([A-Z])", "([A-Z]+)([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
-        spaced = F.regexp_replace(spaced, pattern, "$1 $2")
-    pieces = F.filter(F.split(F.lower(spaced), " +"), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(token, BOUNDARY), F.lower), lambda p: p != "")
     return F.array_distinct(F.concat(F.array(F.lower(token)), pieces))
 
 
@@ -81,7 +67,7 @@ def word_terms(word: Column) -> Column:
 
 
 def tokenize_col(text: Column) -> Column:
-    """``tokenize`` as an expression, for short texts; long ones go through ``plans.index.postings``."""
+    """``tokenize`` as an expression, for short texts; long ones go through ``operators.bm25.forward_index``."""
     return F.flatten(F.transform(raw_words(text), word_terms))
 
 
