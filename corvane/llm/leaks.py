@@ -44,6 +44,7 @@ _BREAK = re.compile(r"<!--|-->|</?(?:br|p|div|hr|li|ul|ol|tr|td|th|table|center|
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _QUOTES = re.compile(r"'{2,}")
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
+_OUTSIDE = re.compile(r"\[(?:https?:|ftp:)?//[^\s\]]+\s*([^\]\n]*)\]")
 _PARAM = re.compile(r"\{\{\{[^{}|]*\|?([^{}]*)\}\}\}")
 _TEMPLATE = re.compile(r"\{\{[^{}|]*((?:\|[^{}]*)?)\}\}")
 _ARGUMENT = re.compile(r"\|(?:[^|={}]*=)?")
@@ -64,6 +65,8 @@ def rendered_words(text: str) -> list[str]:
         text = _TAG.sub("", _BREAK.sub(" ", text))
     if "''" in text:
         text = _QUOTES.sub("", text)
+    if "//" in text:
+        text = _OUTSIDE.sub(r"\1", text)
     for _ in range(NESTING):
         before = text
         if "[[" in text:

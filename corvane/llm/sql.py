@@ -24,15 +24,17 @@ t AS (SELECT chunk_id, array_to_string(list_slice(string_split(code, chr(10)), i
 SELECT DISTINCT chunk_id FROM t WHERE {_UNITS.format("text")} > 384
 """
 
-P5_FOUND = f"""
-WITH {_TERMS},
+_COUNTS = f"""{_TERMS},
 names AS (SELECT file_id, unnest(symbols).name AS term FROM files WHERE symbols IS NOT NULL),
 counts AS (
-    SELECT 'code' AS field, term, count(*) AS r, (SELECT count(DISTINCT cand_id) FROM candidate WHERE code IS NOT NULL) AS total FROM tf GROUP BY term
+    SELECT 'code' AS field, term, sum(n)::BIGINT AS occurrences, count(*) AS records, (SELECT count(DISTINCT cand_id) FROM candidate WHERE code IS NOT NULL) AS total
+    FROM tf GROUP BY term
     UNION ALL
-    SELECT 'symbol', term, count(DISTINCT file_id), (SELECT count(*) FROM files WHERE symbols IS NOT NULL) FROM names WHERE term IS NOT NULL GROUP BY term)
-SELECT field, term, CASE WHEN r = 1 THEN 'rare' ELSE 'common' END AS verdict FROM counts WHERE r = 1 OR r > 0.05 * total
-"""
+    SELECT 'symbol', term, count(*), count(DISTINCT file_id), (SELECT count(*) FROM files WHERE symbols IS NOT NULL) FROM names WHERE term IS NOT NULL GROUP BY term),
+judged AS (SELECT field, term, occurrences, records, CASE WHEN records = 1 THEN 'rare' WHEN records > 0.05 * total THEN 'common' END AS verdict FROM counts)"""
+
+P5_FOUND = f"WITH {_COUNTS} SELECT field, term, verdict FROM judged WHERE verdict IS NOT NULL"
+P5_TERMS = f"WITH {_COUNTS} SELECT field, term, occurrences, records, verdict FROM judged"
 
 P7_FOUND = f"""
 WITH sizes AS (SELECT source, sum({_UNITS.format("text")}) AS size FROM documents WHERE text IS NOT NULL GROUP BY source),
@@ -40,4 +42,4 @@ s AS (SELECT m.source, weight, max_repeat, coalesce(size, 0) AS size FROM mix_ta
 SELECT source FROM s WHERE size * max_repeat < weight * (SELECT sum(size) FROM s)
 """
 
-SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
+SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p7_found": P7_FOUND}

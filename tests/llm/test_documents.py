@@ -67,6 +67,7 @@ def test_blocks_of_items(spark, monkeypatch):
 
 def test_rendered_words():
     assert rendered_words("[[File:X.jpg|thumb|A [[b|c]] d]] {{{p|q}}} {{t|k=v|{{u|w}}}} &amp; É") == ["a", "c", "d", "q", "v", "w", "é"]
+    assert rendered_words("a [https://b.c/d e f] g") == ["a", "e", "f", "g"]
     assert rendered_words("x" * 100_000 + "[[" * 5000 + "{{" * 5000)[0][:3] == "xxx"
 
 
