@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,3 +84,8 @@ IMPORT_RULES = {"js": _JS_IMPORTS, "ts": _JS_IMPORTS, "py": _PY_IMPORTS, "other"
 
 def family_py(lang: str | None) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), "other")
+
+
+def ascii_words(pattern: str) -> str:
+    """The pattern with word characters limited to ASCII, while white space stays Unicode."""
+    return re.sub(r"\[[^\]]*\]|\\w", lambda m: m[0].replace(r"\w", "A-Za-z0-9_") if m[0][0] == "[" else "[A-Za-z0-9_]", pattern)

@@ -10,14 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.lang import IMPORT_RULES, family_py
+from corvane.functions.lang import IMPORT_RULES, ascii_words, family_py
 
-def _ascii_words(pattern: str) -> str:
-    """The pattern with word characters limited to ASCII, while white space stays Unicode."""
-    return re.sub(r"\[[^\]]*\]|\\w", lambda m: m[0].replace(r"\w", "A-Za-z0-9_") if m[0][0] == "[" else "[A-Za-z0-9_]", pattern)
-
-
-_COMPILED = {f: [re.compile(_ascii_words(p), re.M) for p in rules] for f, rules in IMPORT_RULES.items()}
+_COMPILED = {f: [re.compile(ascii_words(p), re.M) for p in rules] for f, rules in IMPORT_RULES.items()}
 
 
 def imports_of(text: str, lang: str | None) -> list[str]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.functions.lang import FAMILIES, SYMBOL_RULES
-from corvane.functions.textops import lines
-
+from corvane.functions.lang import SYMBOL_RULES, ascii_words, family_py
 
 # What a line must hold for any rule of its family to match; most lines don't.
 _HINT = {
@@ -17,38 +18,52 @@ _HINT = {
     "py": r"\b(?:def|class)\b",
     "other": r"\b(?:func|fn|def|function|class|interface|struct|enum|trait|module)\b",
 }
+_HINTS = {family: re.compile(p).search for family, p in _HINT.items()}
+_RULES = {family: [(kind, re.compile(ascii_words(p)).match) for kind, p in rules] for family, rules in SYMBOL_RULES.items()}
 
 
-def _promising(line: Column, lang: Column) -> Column:
-    out = line.rlike(_HINT["other"])
-    for family, langs in FAMILIES.items():
-        out = F.when(lang.isin(*langs), line.rlike(_HINT[family])).otherwise(out)
-    return out
+def symbols_of(text: str, lang: str | None) -> list[tuple[str, str, int, int]]:
+    """(name, kind, line, end line) of the declarations of a text, a row for each name on each line.
 
+    If several rules see the same name on a line, the first gives its kind.  A symbol ends on the line before the
+    next, the last one at the end of the text.
+    """
+    family = family_py(lang)
+    hint, rules = _HINTS[family], _RULES[family]
+    rows = text.split("\n")
+    found: list[tuple[str, str, int]] = []
+    for n, row in enumerate(rows, 1):
+        if hint(row):
+            names: set[str] = set()
+            for kind, match in rules:
+                m = match(row)
+                if m and m[1] not in names:
+                    names.add(m[1])
+                    found.append((m[1], kind, n))
+    ends = [max(a[2], b[2] - 1) for a, b in zip(found, found[1:])] + [len(rows)]
+    return [(*f, end) for f, end in zip(found, ends)]
 
-def _matches(line: Column, lang: Column) -> Column:
-    """Array of (rule, name, kind) of the rules of a language that match a line."""
 
-    def of(family: str) -> Column:
-        rules = SYMBOL_RULES[family]
-        return F.array(*[F.struct(F.lit(i).alias("rule"), F.regexp_extract(line, p, 1).alias("name"), F.lit(kind).alias("kind")) for i, (kind, p) in enumerate(rules)])
+_FIELDS = [("ord", T.IntegerType(), pa.int32()), ("name", T.StringType(), pa.string()), ("kind", T.StringType(), pa.string()), ("line", T.IntegerType(), pa.int32()), ("end_line", T.IntegerType(), pa.int32())]
 
-    out = of("other")
-    for family, langs in FAMILIES.items():
-        out = F.when(lang.isin(*langs), of(family)).otherwise(out)
-    return F.filter(out, lambda m: m["name"] != "")
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind, _ in _FIELDS])))
+def _symbols(texts: pa.Array, langs: pa.Array) -> pa.Array:
+    flat: list[tuple] = []
+    offsets = [0]
+    for text, lang in zip(texts.to_pylist(), langs.to_pylist()):
+        flat += [(i, *s) for i, s in enumerate(symbols_of(text, lang) if text else [])]
+        offsets.append(len(flat))
+    columns = list(zip(*flat)) or [()] * len(_FIELDS)
+    rows = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, _, kind) in zip(columns, _FIELDS)], [name for name, _, _ in _FIELDS])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
-def extract_symbols(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys…, ord, name, kind, line, end_line) of (keys…, lang, text), a row for each name on each line.
 
-    If several rules see the same name on a line, the first gives its kind.  A symbol ends on the line before the
-    next, the last one at the end of the text.  Null texts and empty texts have no symbols.
-    """
-    rows = texts.where(F.col("text").isNotNull()).select(*keys, "lang", F.size(lines(F.col("text"))).alias("_lines"), F.posexplode(lines(F.col("text"))).alias("_pos", "_row"))
-    found = rows.where(_promising(F.col("_row"), F.col("lang"))).select(*keys, "_lines", (F.col("_pos") + 1).alias("line"), F.inline(_matches(F.col("_row"), F.col("lang"))))
-    once = found.groupBy(*keys, "line", "name").agg(F.min(F.struct("rule", "kind")).alias("_first"), F.max("_lines").alias("_lines"))
-    w = W.partitionBy(*keys).orderBy("line", "_first.rule", "name")
-    following = F.lead("line").over(w)
-    end = F.when(following.isNull(), F.col("_lines")).otherwise(F.greatest(F.col("line"), following - 1))
-    return once.select(*keys, (F.row_number().over(w) - 1).alias("ord"), "name", F.col("_first.kind").alias("kind"), "line", end.alias("end_line"))
+def symbol_list(text: Column, lang: Column) -> Column:
+    """Array of the declarations of a text, in the text's own row: exploding lines and grouping them back would shuffle them."""
+    return _symbols(text, lang)
+
+
+def extract_symbols(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, ord, name, kind, line, end_line) of (keys…, lang, text); null texts and empty texts have no symbols."""
+    return texts.where(F.col("text").isNotNull()).select(*keys, F.inline(symbol_list(F.col("text"), F.col("lang"))))
