@@ -10,9 +10,12 @@ vendoring use, and, for copies kept elsewhere, near-duplicates across repositori
 on shingles of five words with a similarity of 0.8 or more.
 
 Near-duplicates come from shingle hashes sampled by value (1 in ``SAMPLE``), so
-two files sample the same shingles.  A hash that occurs in two repositories names
-its first and last file there; a file is a copy if its Jaccard estimate with one
-of the files so named reaches the threshold.  No pairs within a hash are made.
+two files sample the same shingles.  Files with equal sets stand behind one key.
+In one order of all hashes, two sets as similar as asked for share a hash among
+the first of each (prefix filter), so pairs come from those hashes and none is left
+out.  The order puts hashes that many files hold last, by counts of some of the
+sets, so that boilerplate makes few pairs; it decides the work, not the result.  A
+pair is compared in full if the hashes it shares there leave it possible.
 
 Defined results: null content is not judged; empty files and files under
 ``MIN_WORDS`` words are never copies (one-line boilerplate is alike everywhere);
@@ -23,8 +26,9 @@ comparison.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ SIMILARITY = 0.8
 SAMPLE = 4
 MIN_WORDS = 40
 MIN_SAMPLES = 5
+#: One set in so many is counted for the order of hashes, and so many hashes at most are told to be frequent.
+COUNTED, FREQUENT = 16, 1 << 18
 
 _COMMENT = re.compile(r"\s*(?:#(?!include|define|if|endif|pragma|\[)|//|/\*|\*|--|<!--|;|'''|\"\"\")")
 _MADE = re.compile(
@@ -121,11 +127,12 @@ FEATURES = pa.schema(
     [("file_id", pa.int64()), ("lines", pa.int32()), ("max_line", pa.int32()), ("mean_line", pa.float64()), ("space_share", pa.float64()),
      ("alnum_share", pa.float64()), ("digit_share", pa.float64()), ("long_share", pa.float64()), ("encoded_share", pa.float64()),
      ("literal_lines", pa.int32()), ("literal_share", pa.float64()), ("accessor_share", pa.float64()), ("made_mark", pa.bool_()),
-     ("hand_mark", pa.bool_()), ("copy_mark", pa.bool_()), ("words", pa.int32()), ("sketch", pa.list_(pa.int64()))]
+     ("hand_mark", pa.bool_()), ("copy_mark", pa.bool_()), ("words", pa.int32()), ("sketch", pa.list_(pa.int64())),
+     ("sketch_key", pa.int64()), ("sketch_size", pa.int32())]
 )
 DDL = (
     "file_id long, lines int, max_line int, mean_line double, space_share double, alnum_share double, digit_share double, long_share double, "
-    "encoded_share double, literal_lines int, literal_share double, accessor_share double, made_mark boolean, hand_mark boolean, copy_mark boolean, words int, sketch array<long>"
+    "encoded_share double, literal_lines int, literal_share double, accessor_share double, made_mark boolean, hand_mark boolean, copy_mark boolean, words int, sketch array<long>, sketch_key long, sketch_size int"
 )
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -168,9 +175,14 @@ def file_features(text: str) -> tuple:
     )
 
 
+def _set_key(sketch: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(sketch.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [(i, *file_features(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        found = [(*f, _set_key(f[-1]), len(f[-1])) for f in found]
         columns = list(zip(*found)) or [()] * len(FEATURES)
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, FEATURES)], schema=FEATURES)
 
@@ -200,19 +212,78 @@ def _limit(lang: Column, k: int) -> Column:
     return out
 
 
-def copied_files(sketches: DataFrame, *, sample_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(file_id, copy_similarity) of the files like one of another repo; ``sketches`` holds file_id, repo, words and sketch."""
-    own = F.coalesce(F.xxhash64("repo"), -F.col("file_id"))
-    s = sketches.where((F.col("words") >= sample_words) & (F.size("sketch") >= MIN_SAMPLES)).select(
-        "file_id", own.alias("repo"), F.size("sketch").alias("n"), F.explode("sketch").alias("h")
+def prefix_size(n: int, similarity: float) -> int:
+    """How many first hashes of a set of ``n`` hold one of any set that similar."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def _prefixes(frequent: np.ndarray, counts: np.ndarray, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(sketch_key, n, h) for the first hashes of each set, rare ones first; ``frequent`` is sorted."""
+    schema = pa.schema([("sketch_key", pa.int64()), ("n", pa.int32()), ("h", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, firsts = [], [], []
+            for key, sketch in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = sketch.values.to_numpy()
+                count = np.zeros(len(h), np.int64)
+                if len(frequent):
+                    at = np.searchsorted(frequent, h).clip(0, len(frequent) - 1)
+                    count = np.where(frequent[at] == h, counts[at], 0)
+                firsts.append(h[np.lexsort((h, count))[: prefix_size(len(h), similarity)]])
+                keys.append(key)
+                sizes.append(len(h))
+            k = [len(f) for f in firsts]
+            columns = [np.repeat(np.array(keys, np.int64), k), np.repeat(np.array(sizes, np.int32), k), np.concatenate(firsts) if firsts else np.zeros(0, np.int64)]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def copied_files(sketches: DataFrame, sets: DataFrame, *, sample_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(file_id, copy_similarity) of the files like one of another repo.
+
+    ``sketches`` holds file_id, repo, words, sketch_key and sketch_size; ``sets`` words, sketch_key, sketch_size and sketch.
+    """
+    enough = (F.col("words") >= sample_words) & (F.col("sketch_size") >= MIN_SAMPLES)
+    s = sketches.where(enough).select("file_id", F.coalesce(F.xxhash64("repo"), -F.col("file_id")).alias("repo"), F.col("sketch_key").alias("k"))
+    groups = s.groupBy("k").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+    sets = sets.where(enough).select("sketch_key", "sketch")
+
+    counted = sets.where(F.pmod("sketch_key", F.lit(COUNTED)) == 0).select(F.explode("sketch").alias("h")).groupBy("h").count().where("count > 1")
+    top = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()  # at most FREQUENT rows
+    h, n = top["h"].to_numpy(), top["count"].to_numpy()
+    order = np.argsort(h)
+    first = sets.mapInArrow(_prefixes(h[order], n[order], similarity), "k long, n int, h long")
+    # One shuffle by hash serves both sides of the join; equal sets become one there.
+    first = first.repartition("h").dropDuplicates(["h", "k"])
+    a, b = first.select("h", F.col("k").alias("ka"), F.col("n").alias("na")), first.select("h", F.col("k").alias("kb"), F.col("n").alias("nb"))
+    least, most = F.least("na", "nb"), F.greatest("na", "nb")
+    shared = a.join(b, "h").where((F.col("ka") < F.col("kb")) & (least >= most * similarity - 1e-6)).groupBy("ka", "kb", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    # What isn't shared among the first hashes of both is past the prefix of one of them.
+    rest = F.ceil(most * similarity - 1e-9) - 1
+    shared = shared.where(F.col("c") + rest >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
+    of_a, of_b = (groups.select(F.col("k").alias(f"k{x}"), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}")) for x in "ab")
+    pairs = staged(shared.join(of_a, "ka").join(of_b, "kb").where("not (loa = hia and lob = hib and loa = lob)"), "copy-candidates")  # read four times below
+
+    wanted = pairs.select(F.col("ka").alias("sketch_key")).union(pairs.select("kb")).distinct()
+    full = staged(sets.join(wanted, "sketch_key", "left_semi").dropDuplicates(["sketch_key"]), "candidate-sets")  # read twice below
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = (
+        pairs.join(full.select(F.col("sketch_key").alias("ka"), F.col("sketch").alias("sa")), "ka")
+        .join(full.select(F.col("sketch_key").alias("kb"), F.col("sketch").alias("sb")), "kb")
+        .withColumn("both", both)
+        .withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+        .where(F.col("jaccard") >= similarity)
+    )
+    # Each set with the repos of its likes, both ways, and with its own where it is in two.
+    sides = F.array(
+        F.struct(F.col("ka").alias("k"), F.col("lob").alias("lo"), F.col("hib").alias("hi")), F.struct(F.col("kb").alias("k"), F.col("loa").alias("lo"), F.col("hia").alias("hi"))
     )
-    # One shuffle by hash serves the sum and the join below: both sides read the same exchange.
-    s = s.repartition("h")
-    ends = s.groupBy("h").agg(F.min(F.struct("repo", "file_id", "n")).alias("lo"), F.max(F.struct("repo", "file_id", "n")).alias("hi")).where("lo.repo != hi.repo")
-    near = s.join(ends, "h").select("file_id", "n", F.explode(F.filter(F.array("lo", "hi"), lambda e: e["repo"] != F.col("repo"))).alias("e"))
-    pairs = near.groupBy("file_id", "n", F.col("e.file_id").alias("other"), F.col("e.n").alias("m")).agg(F.count(F.lit(1)).alias("both"))
-    jaccard = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    return pairs.groupBy("file_id").agg(F.max(jaccard).alias("copy_similarity")).where(F.col("copy_similarity") >= similarity)
+    likes = alike.select(F.explode(sides).alias("e"), "jaccard").select("e.*", "jaccard")
+    likes = likes.unionByName(groups.where("lo != hi").withColumn("jaccard", F.lit(1.0)))
+    found = s.join(likes, "k").where((F.col("lo") != F.col("repo")) | (F.col("hi") != F.col("repo")))
+    return found.groupBy("file_id").agg(F.max("jaccard").alias("copy_similarity"))
 
 
 def judged_files(files: DataFrame, file_text: DataFrame) -> DataFrame:
@@ -221,12 +292,12 @@ def judged_files(files: DataFrame, file_text: DataFrame) -> DataFrame:
     ``reason`` is the first that holds of ``minified``, ``data``, ``generated`` and ``copied``.
     """
     texts = file_text.where("content is not null and file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), "content")
-    features = staged(spread(texts, "file_id").mapInArrow(_features, DDL), "file-features")  # read twice below
+    features = staged(spread(texts, "file_id").mapInArrow(_features, DDL), "file-features")  # read several times below
     meta = files.where("file_id is not null").select(
         F.col("file_id").cast("long").alias("file_id"), "repo", "path", F.coalesce(F.lower("lang"), detect_lang(F.col("path")), F.lit("text")).alias("lang")
     )
-    judged = features.join(meta, "file_id")
-    copies = copied_files(judged.select("file_id", "repo", "words", "sketch"))
+    judged = features.drop("sketch").join(meta, "file_id")
+    copies = copied_files(judged.select("file_id", "repo", "words", "sketch_key", "sketch_size"), features.select("words", "sketch_key", "sketch_size", "sketch"))
     code = F.col("lang") != "text"
     path = F.coalesce(F.col("path"), F.lit(""))
     lang = F.col("lang")
@@ -240,4 +311,4 @@ def judged_files(files: DataFrame, file_text: DataFrame) -> DataFrame:
     generated = F.col("made_mark") | ~F.col("hand_mark") & code & (path.rlike(GENERATED_PATH) | (F.col("accessor_share") >= ACCESSOR_SHARE))
     copied = F.col("copy_mark") | path.rlike(VENDORED_PATH) | F.col("copy_similarity").isNotNull()
     reason = F.when(minified, "minified").when(data, "data").when(generated, "generated").when(copied, "copied")
-    return judged.drop("sketch").join(copies, "file_id", "left").withColumn("reason", reason)
+    return judged.drop("sketch_key", "sketch_size").join(copies, "file_id", "left").withColumn("reason", reason)

@@ -84,6 +84,24 @@ def test_shingle_sample_matches_sets():
     assert len(full("a b c d")) == 0 and full("A b, c-d e") == full("a B c d E")
 
 
+def near_copies(spark, texts):
+    """Ids of the copies among (repo, text), the id being the place in the list."""
+    files = spark.createDataFrame([(i, r, f"src/f{i}.py", "py") for i, (r, _) in enumerate(texts)], "file_id long, repo string, path string, lang string")
+    content = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "file_id long, content string")
+    return {r.file_id: r.copy_similarity for r in judged_files(files, content).where("copy_similarity is not null").collect()}
+
+
+def test_copies_are_found_whatever_other_files_share_their_shingles(spark):
+    words = [random.Random(7).choice(WORDS) + str(i) for i in range(700)]
+    version = " ".join(words[:600])  # in repo a, and its copy in b
+    older = " ".join(words[:510] + [f"older{i}" for i in range(90)])
+    part = " ".join(words[100:250] + [f"part{i}" for i in range(450)])
+    others = [("A", older), ("a0", part), ("z", part.replace("part", "other"))]
+    assert near_copies(spark, [("A", version), ("b", version), *others]) == {0: 1.0, 1: 1.0}
+    got = near_copies(spark, [("A", version), ("b", version + " end"), *others, ("A", older + " x"), ("zz", part.replace("part", "more"))])
+    assert set(got) == {0, 1} and min(got.values()) > 0.95
+
+
 # Documentation -------------------------------------------------------------------------------------------------------
 
 PY = '''# Adds two numbers with great care.
