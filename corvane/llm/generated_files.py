@@ -9,8 +9,8 @@ at either end of the file, the file names and folders that generators and
 vendoring use, and, for copies kept elsewhere, near-duplicates across repositories
 on shingles of five words with a similarity of 0.8 or more.
 
-Near-duplicates come from shingle hashes sampled by value (1 in ``SAMPLE``), so
-two files sample the same shingles.  Files with equal sets stand behind one key.
+Near-duplicates are judged on the hashes of all shingles of a file, none sampled.
+Files with equal sets stand behind one key.
 In one order of all hashes, two sets as similar as asked for share a hash among
 the first of each (prefix filter), so pairs come from those hashes and none is left
 out.  The order puts hashes that many files hold last, by counts of some of the
@@ -41,9 +41,7 @@ from corvane.functions.lang import detect_lang
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SAMPLE = 4
 MIN_WORDS = 40
-MIN_SAMPLES = 5
 #: One set in so many is counted for the order of hashes, and so many hashes at most are told to be frequent.
 COUNTED, FREQUENT = 16, 1 << 18
 
@@ -100,8 +98,8 @@ def _power_table(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def shingle_sample(data: bytes, sample: int = SAMPLE) -> tuple[np.ndarray, int]:
-    """Sampled hashes of the distinct five-word shingles, and the number of words.  Words are ``\\w`` runs without case."""
+def shingle_sample(data: bytes, sample: int = 1) -> tuple[np.ndarray, int]:
+    """Hashes of the distinct five-word shingles (1 in ``sample`` by value), and the number of words.  Words are ``\\w`` runs without case."""
     a = np.frombuffer(data, np.uint8)
     word = _IS_WORD[a] if len(a) else np.zeros(0, bool)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
@@ -139,7 +137,7 @@ _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 
 
 def file_features(text: str) -> tuple:
-    """The layout statistics, marks and shingle sample of one file, in the order of ``FEATURES`` after the id."""
+    """The layout statistics, marks and shingle hashes of one file, in the order of ``FEATURES`` after the id."""
     rows = text.split("\n")
     full = [r for r in rows if r.strip()]
     data = text.encode("utf-8", "replace")
@@ -240,12 +238,12 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray, similarity: float) -> Ca
     return run
 
 
-def copied_files(sketches: DataFrame, sets: DataFrame, *, sample_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def copied_files(sketches: DataFrame, sets: DataFrame, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(file_id, copy_similarity) of the files like one of another repo.
 
     ``sketches`` holds file_id, repo, words, sketch_key and sketch_size; ``sets`` words, sketch_key, sketch_size and sketch.
     """
-    enough = (F.col("words") >= sample_words) & (F.col("sketch_size") >= MIN_SAMPLES)
+    enough = (F.col("words") >= min_words) & (F.col("sketch_size") > 0)
     s = sketches.where(enough).select("file_id", F.coalesce(F.xxhash64("repo"), -F.col("file_id")).alias("repo"), F.col("sketch_key").alias("k"))
     groups = s.groupBy("k").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"))
     sets = sets.where(enough).select("sketch_key", "sketch")

@@ -102,6 +102,24 @@ def test_copies_are_found_whatever_other_files_share_their_shingles(spark):
     assert set(got) == {0, 1} and min(got.values()) > 0.95
 
 
+def test_similarity_is_exact(spark):
+    r = random.Random(5)
+    texts, want = [], {}
+    for k in range(60):
+        n = r.randint(44, 160)
+        a = [f"w{k}x{j}" for j in range(n)]
+        b = list(a)
+        if k % 3:  # words changed at one end: as many shingles differ, so the similarity is about 0.8
+            changed = max(1, round(n * (0.095 if k % 3 == 1 else 0.13)))
+            b[-changed:] = [f"c{k}x{j}" for j in range(changed)]
+        sa, sb = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (a, b))
+        jaccard = len(sa & sb) / len(sa | sb)
+        texts += [(f"p{k}", " ".join(a)), (f"q{k}", " ".join(b))]
+        if jaccard >= 0.8:
+            want |= {2 * k: jaccard, 2 * k + 1: jaccard}
+    assert near_copies(spark, texts) == pytest.approx(want) and 0 < sum(x < 0.85 for x in want.values()) and len(want) < 100
+
+
 # Documentation -------------------------------------------------------------------------------------------------------
 
 PY = '''# Adds two numbers with great care.
