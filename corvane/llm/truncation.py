@@ -6,11 +6,13 @@ end.  So that trigrams are frequent enough to judge, words of four letters and
 more stand for their class (lower case or capitalised), numbers for one number,
 while short words, punctuation and markup stay as they are; a rare trigram is
 judged with its short words as classes too.  Trailing ellipses and "[more]" marks
-are taken off before counting, so that the text before them is judged.
+are taken off before counting, so that the text before them is judged.  Copies
+don't vote: places inside are counted over distinct texts, ends over distinct tails,
+and the verdict goes to every row.
 
 A cut may fall on the end of a sentence, which no trigram shows.  Such cuts are
-found by the pile-up they leave: lengths of a source that gather at its upper end,
-in characters or in bytes, far above the density below.  A text at the limit
+found by the pile-up they leave: lengths of a source's distinct texts that gather at
+its upper end, in characters or in bytes, far above the density below.  A text at the limit
 counts as cut; where the limit moves to word ends, only if it doesn't end in closed
 markup.  A text that stops in the middle of a tag, link or template, in half a
 character or in white space is cut whatever its last trigram.
@@ -33,7 +35,7 @@ from corvane.parallel import spread
 MIN_INSIDE = 200
 TRUSTED_INSIDE = 2000
 MAX_END_RATE = 0.002
-#: A trigram that ends this many texts, and this share of its places, is a way to end whatever its classes say.
+#: A trigram that ends this many different tails, and this share of its places, is a way to end whatever its classes say.
 KNOWN_ENDS, KNOWN_END_RATE = 5, 0.05
 TAIL_CHARS = 600
 #: Lengths below a source's longest text that count as its upper end, and how many below those give the usual density.
@@ -65,29 +67,30 @@ _TOKEN = r"(\\n|\\p{L}+|0|\\[\\[|\\]\\]|\\{\\{+|\\}\\}+|\\|\\}|\\{\\||\\|\\||\\|
 _BARE = f"regexp_replace(text, '{_MARK}', '')"
 _COARSE = "CASE WHEN length({0}) <= 3 AND {0} RLIKE '^\\\\p{{Ll}}+$' THEN 'w' ELSE {0} END"
 
-# Occurrences of each trigram at any place of any text.
+# Occurrences of each trigram at any place of any distinct text.
 _ALL = f"""
 SELECT a, b, c, count(*) AS n FROM (
     SELECT inline(arrays_zip(concat(array('^', '^'), t), concat(array('^'), t), t)) AS (a, b, c)
-    FROM (SELECT regexp_extract_all({_shape(_BARE)}, '{_TOKEN}', 1) AS t FROM {{docs}} WHERE trim(text) != ''))
+    FROM (SELECT regexp_extract_all({_shape(_BARE)}, '{_TOKEN}', 1) AS t FROM (SELECT DISTINCT text FROM {{docs}} WHERE trim(text) != '')))
 WHERE c IS NOT NULL GROUP BY a, b, c
 """
 
 # The last trigram of each text; only the tail decides it.
 _LAST = f"""
-SELECT doc_id, source, chars, bytes, marked, open,
+SELECT doc_id, source, chars, bytes, whole, end, marked, open,
     coalesce(try_element_at(t, -3), '^') AS a, coalesce(try_element_at(t, -2), '^') AS b, try_element_at(t, -1) AS c
 FROM (
-    SELECT doc_id, source, chars, bytes, tail RLIKE '{_MARK}' AS marked, tail RLIKE '{_OPEN}' AS open,
+    SELECT doc_id, source, chars, bytes, whole, xxhash64(regexp_replace(tail, '{_MARK}', '')) AS end, tail RLIKE '{_MARK}' AS marked, tail RLIKE '{_OPEN}' AS open,
         regexp_extract_all({_shape(f"regexp_replace(tail, '{_MARK}', '')")}, '{_TOKEN}', 1) AS t
-    FROM (SELECT doc_id, source, length(text) AS chars, octet_length(text) AS bytes, right(text, {TAIL_CHARS}) AS tail
+    FROM (SELECT doc_id, source, length(text) AS chars, octet_length(text) AS bytes, xxhash64(text) AS whole, right(text, {TAIL_CHARS}) AS tail
         FROM {{docs}} WHERE trim(text) != '' AND NOT ltrim(text) ILIKE '#redirect%'))
 """
 
 # Fine and coarse trigrams with their counts inside and at ends, and whether an end in them is a cut.
 _JUDGED = f"""
-WITH ends AS (SELECT a, b, c, count(*) AS e FROM {{last}} GROUP BY a, b, c),
-fine AS (SELECT t.a, t.b, t.c, t.n - coalesce(e, 0) AS inside, coalesce(e, 0) AS ends,
+WITH tails AS (SELECT a, b, c, end, count(DISTINCT whole) AS texts FROM {{last}} GROUP BY a, b, c, end),
+ends AS (SELECT a, b, c, count(*) AS e, sum(texts) AS texts FROM tails GROUP BY a, b, c),
+fine AS (SELECT t.a, t.b, t.c, t.n - coalesce(texts, 0) AS inside, coalesce(e, 0) AS ends,
         {_COARSE.format("t.a")} AS ca, {_COARSE.format("t.b")} AS cb, {_COARSE.format("t.c")} AS cc
     FROM {{counts}} t LEFT JOIN ends ON t.a = ends.a AND t.b = ends.b AND t.c = ends.c),
 coarse AS (SELECT ca, cb, cc, sum(inside) AS coarse_inside, sum(ends) AS coarse_ends FROM fine GROUP BY ca, cb, cc)
@@ -103,7 +106,8 @@ FROM fine JOIN coarse USING (ca, cb, cc) WHERE ends > 0
 _LIMITS = f"""
 WITH lengths AS (
     SELECT source, unit, size, count(*) AS n FROM (
-        SELECT source, stack(2, 'chars', chars, 'bytes', bytes) AS (unit, size) FROM {{last}}) GROUP BY source, unit, size),
+        SELECT source, stack(2, 'chars', chars, 'bytes', bytes) AS (unit, size)
+        FROM (SELECT DISTINCT source, whole, chars, bytes FROM {{last}})) GROUP BY source, unit, size),
 tops AS (SELECT source, unit, max(size) AS top FROM lengths GROUP BY source, unit),
 near AS (
     SELECT l.source, l.unit, top,

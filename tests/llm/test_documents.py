@@ -170,6 +170,18 @@ def test_truncation(spark, texts):
     assert rates[None].rate == 1.0 and rates["api"].documents == 300 and abs(rates["api"].truncated - sum(i % 3 == 1 for i in cut if i < 900)) <= 2
 
 
+def test_copies_of_a_cut_text_do_not_clear_it(spark):
+    r = random.Random(3)
+    rows = [(i, "dump", article(r, r.randint(20, 60))) for i in range(300)]
+    cut = article(r, 10) + " The harbour of"
+    rows += [(1000 + i, "dump", cut) for i in range(1000)]
+    whole = article(r, 61) * 2  # the longest text, kept often, is no limit
+    rows += [(3000 + i, "dump", whole) for i in range(50)]
+    judged = judged_texts(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert len(judged) == len(rows)
+    assert {x.doc_id for x in judged if x.by_trigram} == set(range(1000, 2000)) and not any(x.by_limit for x in judged)
+
+
 def test_truncation_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert judged_texts(docs).count() == 0 == truncation_rates(docs).count()
