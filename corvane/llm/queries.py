@@ -99,6 +99,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return source_plan(table(spark, d, "documents"), table(spark, d, "mix_target")).where("short").select("source")
 
 
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The mix itself: each use of a document with its slot in the schedule."""
+    from corvane.llm.mixing import mixed_documents
+
+    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares that the mix really reaches."""
     from corvane.llm.mixing import reached_shares
@@ -120,5 +127,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_mixed, p7_shares, p8_found, p8_rates)}
 

@@ -10,6 +10,7 @@ from corvane.functions.textops import estimate_tokens
 from corvane.llm import leaks
 from corvane.llm.leaks import WuManber, leaked_items, rendered_words
 from corvane.llm.mixing import mixed_documents, reached_shares, schedule, source_plan
+from corvane.llm.queries import QUERIES
 from corvane.llm.truncation import judged_texts, truncation_rates
 
 ITEM = "In 1844 the narrow harbour of Velim joined seven late mills and a chapel near the old road to Brask."
@@ -128,6 +129,14 @@ def test_nothing_to_mix(mix):
     assert {r.share for r in reached_shares(docs.where("false"), targets).collect()} == {0.0}
 
 
+def test_the_mix_is_a_query(spark):
+    d = "/root/testdata/sf0.001"
+    shares = {r.source: r for r in QUERIES["p7_shares"](spark, d).collect()}
+    mixed = QUERIES["p7_mixed"](spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()
+    assert mixed and {(r.source, r.n, r.t) for r in mixed} == {(s, r.mixed_documents, r.mixed_tokens) for s, r in shares.items() if r.mixed_documents}
+    assert {r.source for r in QUERIES["p7_found"](spark, d).collect()} == {s for s, r in shares.items() if r.short}
+
+
 # Truncation ----------------------------------------------------------------------------------------------------------
 
 WORDS = ["harbour", "station", "council", "market", "garden", "bridge"]
