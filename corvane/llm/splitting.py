@@ -6,7 +6,7 @@ overlap are cut again.  Every piece after the first then starts with the last
 three lines of the piece before.  Sizes are UTF-16 units; four make a token.
 
 A line that doesn't fit the limit by itself is cut inside, at white space or
-punctuation where there is any near the middle, with 40 characters of overlap.
+punctuation where there is any in its middle half, with 40 characters of overlap.
 Where three lines of overlap would leave no room for new text, as many whole
 lines as fit are shared, and if not even one does, 40 characters.
 
@@ -63,12 +63,17 @@ def boundary_strength(before: str, after: str) -> int:
 
 
 def _cut_line(text: str, limit: int) -> list[str]:
-    """A long line in fragments of at most ``limit`` units, by bisection at white space or punctuation near the middle."""
+    """A long line in fragments of at most ``limit`` units, by bisection at white space or punctuation within ``NEAR`` of its length from the middle."""
     if units(text) <= limit:
         return [text]
     m = len(text) // 2
-    near = range(max(1, m - 60), min(len(text), m + 60))
-    cut = max(near, key=lambda i: (2 if text[i - 1] in " \t" else 1 if text[i - 1] in ",;|)}]" else 0, -abs(i - m)))
+    reach = int(NEAR * len(text))
+    cut = m
+    for marks in (" \t", ",;|)}]"):
+        found = [text.rfind(c, m - reach - 1, m) for c in marks] + [text.find(c, m, m + reach) for c in marks]
+        if near := [i + 1 for i in found if i >= 0]:
+            cut = min(near, key=lambda i: (abs(i - m), i))
+            break
     return _cut_line(text[:cut], limit) + _cut_line(text[cut:], limit)
 
 

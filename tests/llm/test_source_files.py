@@ -260,6 +260,13 @@ def test_split_shares_three_lines_and_cuts_at_boundaries():
     assert len(split_text("a" * 1536)) == 1 and len(split_text("a" * 1537)) > 1 and split_text("")[0]["text"] == ""
 
 
+def test_long_lines_are_cut_at_boundaries_far_from_the_middle():
+    for mark in (" ", ";"):
+        pieces = check_pieces("a" * 800 + mark + "b" * 1200)
+        assert [p["text"].strip("ab") for p in pieces] == [mark, mark] and pieces[0]["text"].endswith("a" + mark)
+    assert check_pieces("a" * 800 + " " + "b" * 190 + "," + "c" * 1000)[0]["text"] == "a" * 800 + " "
+
+
 def test_oversized_pieces(spark):
     code = "\n".join(f"line {i} of the code here" for i in range(200))
     chunks = spark.createDataFrame(
