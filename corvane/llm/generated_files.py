@@ -68,6 +68,11 @@ _LITERAL_LINE = re.compile(
     r"""[\s\[\](){},;]*+(?>(?>[rbuRBU]?"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[-+]?0[xX][0-9a-fA-F]++|[-+]?\d[\d_.eE+-]*+[a-zA-Z]{0,3}+|\b(?:true|false|null|None|True|False|nil|NULL)\b)(?:[\s\[\](){},;:]|=>|->)*+)++"""
 )
 LONG = 200
+#: What stands before the literals of a long line: a name and its equals sign.
+_ASSIGNED = re.compile(r"[^\"'`=]{0,120}+=\s*+")
+#: Lines that may stand between the comments of a head, and what closes a comment of several lines.
+_PREAMBLE = re.compile(r"\s*(?:<\?|package\b|[\"']use strict[\"'])")
+_CLOSED_BY = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 #: Share of non-blank lines with numbered accessors from which a file counts as generated.
 ACCESSOR_SHARE = 0.3
 
@@ -136,6 +141,31 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def head_comments(rows: list[str]) -> tuple[list[str], int]:
+    """The comment lines before the first line of code, inner lines of long comments included, and how many lines that head has."""
+    found: list[str] = []
+    closing = ""
+    for i, row in enumerate(rows):
+        if closing:
+            found.append(row)
+            if closing in row:
+                closing = ""
+        elif _COMMENT.match(row):
+            found.append(row)
+            start = row.lstrip()
+            for opening, end in _CLOSED_BY.items():
+                if start.startswith(opening) and end not in start[len(opening) :]:
+                    closing = end
+        elif row.strip() and not _PREAMBLE.match(row):
+            return found, i
+    return found, len(rows)
+
+
+def _line_units(row: str) -> int:
+    """A line as one line for every ``LONG`` characters begun."""
+    return -(-len(row) // LONG)
+
+
 def file_features(text: str) -> tuple:
     """The layout statistics, marks and shingle hashes of one file, in the order of ``FEATURES`` after the id."""
     rows = text.split("\n")
@@ -149,15 +179,21 @@ def file_features(text: str) -> tuple:
     long_rows = [r for r in full if len(r) > LONG and not _COMMENT.match(r)]
     in_long = sum(n for n in (len(_STRING.sub("", r)) for r in long_rows) if n > LONG)
     encoded = sum(len(m) for m in _ENCODED.findall(text)) if lengths and max(lengths) >= 160 else 0
-    literal = sum(_LITERAL_LINE.fullmatch(r) is not None for r in full if len(r) < 5000)
+    # Long lines count as many, so that literals in few lines weigh by their characters.
+    literal = 0
+    for r in full:
+        assigned = _ASSIGNED.match(r) if len(r) > LONG else None
+        if _LITERAL_LINE.fullmatch(r, assigned.end() if assigned else 0):
+            literal += _line_units(r)
     accessor = sum(_ACCESSOR.search(r) is not None for r in full if len(r) < 1000)
     made = hand = copied = False
     head = 0
     while head < len(rows) and (not rows[head].strip() or _COMMENT.match(rows[head]) or rows[head].startswith("<?")):
         head += 1
-    edges = rows[: min(head, 30)] + [r for r in rows[max(head, len(rows) - 6) :]]
-    for r in edges:
-        if r.strip() and _COMMENT.match(r):
+    comments, top = head_comments(rows)
+    comments += [r for r in rows[max(top, len(rows) - 6) :] if _COMMENT.match(r)]
+    for r in comments:
+        if r.strip():
             if _UNMADE.search(r):
                 hand = True
             elif _MADE.search(r):
@@ -168,7 +204,7 @@ def file_features(text: str) -> tuple:
     sketch, words = shingle_sample(data if body is text else body.encode("utf-8", "replace"))
     return (
         len(rows), max(lengths), sum(lengths) / len(lengths), float(counts[[9, 10, 11, 12, 13, 32]].sum() / size), float(counts[_ALNUM].sum() / size),
-        float(counts[48:58].sum() / size), in_long / max(1, sum(lengths)), encoded / max(1, len(text)), literal, literal / max(1, len(full)),
+        float(counts[48:58].sum() / size), in_long / max(1, sum(lengths)), encoded / max(1, len(text)), literal, literal / max(1, sum(map(_line_units, full))),
         accessor / max(1, len(full)), made, hand, copied, words, sketch,
     )
 

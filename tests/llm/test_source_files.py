@@ -5,7 +5,7 @@ import random
 import pytest
 
 from corvane.llm.function_docs import documented_functions, pairs_of, prose_words
-from corvane.llm.generated_files import file_features, judged_files, shingle_sample
+from corvane.llm.generated_files import FEATURES, file_features, judged_files, shingle_sample
 from corvane.llm.splitting import oversized_pieces, split_text, units
 
 rng = random.Random(11)
@@ -102,6 +102,26 @@ def test_copies_are_found_whatever_other_files_share_their_shingles(spark):
     assert set(got) == {0, 1} and min(got.values()) > 0.95
 
 
+@pytest.mark.parametrize(
+    "head",
+    ["// licence line\n" * 50 + "// @generated\n", "/*\nSome words.\n@generated\n*/\n", '"""Words.\n\n@generated by gen.py\n"""\n', "// Licence\n\npackage a.b;\n\n// Code generated by z. DO NOT EDIT.\n"],
+)
+def test_marks_anywhere_in_the_head(head):
+    made = [f.name for f in FEATURES].index("made_mark") - 1
+    code = "int a(b) {\n    c();\n}\n" * 9
+    assert file_features(head + code)[made] and not file_features(head.replace("@generated", "made").replace("generated", "kept").replace("DO NOT EDIT", "") .replace("made by", "for") + code)[made]
+    assert not file_features(code + "/*\n@generated\n*/\n" + code)[made]
+
+
+def test_literals_in_few_long_lines_are_data(spark):
+    files = spark.createDataFrame([(1, "r", "src/a.js", "js"), (2, "r", "src/b.js", "js")], "file_id long, repo string, path string, lang string")
+    blob = "const WORDS = [" + ",".join(f'"{w}"' for w in WORDS * 10) + "];\n"
+    calls = "run(" + ",".join(f"{w}({w})" for w in WORDS * 10) + ");\n"
+    text = spark.createDataFrame([(1, blob + "module.exports = WORDS;\n"), (2, calls)], "file_id long, content string")
+    assert {r.file_id: r.reason for r in judged_files(files, text).collect()}[1] == "data"
+    assert file_features(calls)[8] == 0
+
+
 def test_similarity_is_exact(spark):
     r = random.Random(5)
     texts, want = [], {}
