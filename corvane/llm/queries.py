@@ -10,10 +10,10 @@ from corvane.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Terms repeated in a record (4 times or more) that 2 to 6 records share."""
+    """Terms of which a record is among the elite; of those, the ones it repeats (4 times or more) and 2 to 6 records share."""
     from corvane.llm.term_weights import distinctive_terms
 
-    scored = distinctive_terms(table(spark, d, "candidate"), "cand_id", "code", min_count=4, min_df=2, max_df=6)
+    scored = distinctive_terms(table(spark, d, "candidate"), "cand_id", "code", min_elite=0.5, min_count=4, min_df=2, max_df=6)
     return scored.select(F.col("record_id").alias("cand_id"), "term").distinct()
 
 

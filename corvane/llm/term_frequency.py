@@ -1,10 +1,12 @@
 """Frequency of every distinct term: occurrences, records that hold it, and a verdict on its use.
 
-Radix spilling: workers add up the terms of their own batches, the sums are
-partitioned by the leading bits of the term's hash (the shuffle writes these
-partitions to disk), and each partition is aggregated out of core with DuckDB.
-A partition above ``PART_ROWS`` rows is first split by further hash bits into
-spill files, and those again if need be, so no aggregation grows with the data.
+Radix spilling: workers add up the terms of their own batches, and the sums are
+written to the shared folder with the hash of their term.  They are partitioned by
+its leading bits, as many as the size of all sums asks for; partitions that are
+still above ``PART_BYTES`` are split again by the bits that follow, until they fit
+or hold one hash only.  One shuffle a level takes each partition to a task of its
+own, on disk, where DuckDB streams it into its sums, so no aggregation grows with
+the data and none needs a folder of its own.
 
 Because a worker sends each term at most once per gathered batch, a term that
 fills a third of the collection arrives as few rows as there are batches.
@@ -16,25 +18,25 @@ elements are no terms.
 
 from __future__ import annotations
 
-import os
-import shutil
-import uuid
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.durable import shared_folder
+from corvane.durable import staged
 from corvane.functions.textops import tokenize
+from corvane.llm.records import distinct_records
 
 GATHERED = 400_000
-PART_ROWS = 4_000_000
+#: Bytes of partial sums that one aggregation takes, by ``ROW_BYTES`` a row and the length of its term.
+PART_BYTES, ROW_BYTES = 64 << 20, 64
+#: Bits that split a partition which came out too large.
 SPLIT_BITS = 3
-MEMORY = "256MB"
+MEMORY = "512MB"
 PARTIAL = "term string, occurrences long, records long"
 SCHEMA = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
@@ -80,80 +82,58 @@ def of_list(value: list) -> list[str]:
     return [v for v in value if v is not None]
 
 
-def _posix(folder: str) -> str | None:
-    plain = folder.removeprefix("file://") if folder.startswith("file:") else folder
-    return plain if plain.startswith("/") else None
-
-
-def _aggregate(spill: str | None):
-    """Aggregate one radix partition with DuckDB, splitting it by further hash bits while it is too large."""
-
-    def query(con, source: str) -> Iterator[pa.RecordBatch]:
-        sql = f"SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM {source} GROUP BY term"
-        yield from con.sql(sql).to_arrow_reader(50_000)
-
-    def reduce_(con, batches: Iterator[pa.RecordBatch], folder: str | None, depth: int) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        batches = iter(batches)
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows > PART_ROWS and folder is not None and depth < 6:
-                break
-        else:
-            if held:
-                part = pa.Table.from_batches(held, schema=SCHEMA)  # noqa: F841 - DuckDB finds it by name
-                con.register("part", part)
-                yield from query(con, "part")
-                con.unregister("part")
-            return
-        here = f"{folder}/{uuid.uuid4().hex}"
-        os.makedirs(here)
-        writers: dict[int, pq.ParquetWriter] = {}
-
-        def spread(b: pa.RecordBatch) -> None:
-            con.register("piece", pa.Table.from_batches([b], schema=SCHEMA))
-            shift = SPLIT_BITS * depth
-            radix = con.sql(f"SELECT ((hash(coalesce(term, '')) >> {shift}) & {(1 << SPLIT_BITS) - 1})::INT AS r FROM piece").to_arrow_table().column(0)
-            con.unregister("piece")
-            for r in range(1 << SPLIT_BITS):
-                mine = b.filter(pc.equal(radix.combine_chunks(), r))
-                if mine.num_rows:
-                    if r not in writers:
-                        writers[r] = pq.ParquetWriter(f"{here}/{r}.parquet", SCHEMA, compression="zstd")
-                    writers[r].write_batch(mine)
-
-        for b in held:
-            spread(b)
-        held.clear()
-        for b in batches:
-            spread(b)
-        for w in writers.values():
-            w.close()
-        for r in sorted(writers):
-            yield from reduce_(con, pq.ParquetFile(f"{here}/{r}.parquet").iter_batches(50_000), folder, depth + 1)
-        shutil.rmtree(here, ignore_errors=True)
+def _aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by term of one radix partition; DuckDB takes the batches as they come and holds the distinct terms only."""
+    import duckdb
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
+    con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+    try:
+        rows = (pa.RecordBatch.from_arrays(b.columns[:3], schema=SCHEMA) for b in batches)
+        con.register("part", pa.RecordBatchReader.from_batches(SCHEMA, rows))
+        sums = con.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY term")
+        for out in sums.to_arrow_reader(50_000):
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, SCHEMA)], schema=SCHEMA)
+    finally:
+        con.close()
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY} | ({"temp_directory": spill} if spill else {"temp_directory": ""}))
-        try:
-            source = (pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2)], schema=SCHEMA) for b in batches)
-            for out in reduce_(con, source, spill, 0):
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, SCHEMA)], schema=SCHEMA)
-        finally:
-            con.close()
 
-    return run
+def _bits(h: str, used: int, bits: int) -> Column:
+    """The ``bits`` bits of a hash that follow its first ``used``."""
+    return F.shiftrightunsigned(F.shiftleft(h, used), 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def radix_sums(partial: DataFrame, spark: SparkSession) -> DataFrame:
+def _level(rows: DataFrame, parents: int, used: int, bits: int, part_bytes: int) -> list[DataFrame]:
+    """Sums of the partitions of ``rows`` (term, occurrences, records, _h, _w, _p), those of the next levels included.
+
+    ``_p`` numbers the ``parents`` partitions that are split here, by ``bits`` bits after the first ``used``.
+    """
+    by = rows.withColumn("_r", F.shiftleft("_p", bits) + _bits("_h", used, bits))
+    sizes = by.groupBy("_r").agg(F.sum("_w").alias("_size"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    # A partition of one hash can't be split, and needs no more memory however many rows it has.
+    large = sizes.where((F.col("_size") > part_bytes) & (F.col("_lo") != F.col("_hi"))).select("_r", (F.row_number().over(W.orderBy("_r")) - 1).cast("long").alias("_next"))
+    large = staged(large, "large-partitions")  # read three times below; as many rows as partitions at most
+    n = large.count()
+    fits = by.join(large, "_r", "left_anti") if n else by
+    sums = fits.repartitionById(parents << bits, F.col("_r").cast("int")).select(*SCHEMA.names).mapInArrow(_aggregate, PARTIAL)
+    if not n:
+        return [sums]
+    over = by.join(large, "_r").select(*SCHEMA.names, "_h", "_w", F.col("_next").alias("_p"))
+    return [sums, *_level(over, n, used + bits, min(SPLIT_BITS, 64 - used - bits), part_bytes)]
+
+
+def radix_sums(partial: DataFrame, part_bytes: int | None = None) -> DataFrame:
     """Sum ``partial`` (term, occurrences, records) by term."""
-    folder = _posix(shared_folder(spark))
-    spill = f"{folder}/corvane-radix" if folder else None
-    return partial.repartition(F.shiftrightunsigned(F.xxhash64("term"), 40)).mapInArrow(_aggregate(spill), PARTIAL)
+    part_bytes = PART_BYTES if part_bytes is None else part_bytes
+    weight = F.coalesce(F.octet_length("term"), F.lit(0)).cast("long") + ROW_BYTES
+    keyed = staged(partial.select(*SCHEMA.names, F.xxhash64("term").alias("_h"), weight.alias("_w")), "partial-terms")  # read twice a level
+    size = keyed.agg(F.sum("_w")).first()[0] or 0
+    at_least = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Twice the partitions that the size asks for, so that an even spread leaves none too large.
+    bits = math.ceil(math.log2(max(1, 2 * size / part_bytes, at_least)))
+    first, *more = _level(keyed.withColumn("_p", F.lit(0).cast("long")), 1, 0, bits, part_bytes)
+    for sums in more:
+        first = first.unionByName(sums)
+    return first
 
 
 def term_frequencies(
@@ -164,16 +144,13 @@ def term_frequencies(
     ``verdict`` is ``rare`` for a term in at most ``rare_records`` records, ``common`` for one in more than
     ``common_share`` of them, else null.  With ``id_col``, rows of the same id are one record, the smallest text.
     """
-    spark = df.sparkSession
-    values = df.where(F.col(value_col).isNotNull())
     is_list = df.schema[value_col].dataType.typeName() == "array"
     if id_col is not None:
-        values = values.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(value_col).alias("_value"))
+        values = distinct_records(df, id_col, value_col).select("value")
     else:
-        values = values.select(F.col(value_col).alias("_value"))
-    partial = values.select("_value").mapInArrow(_gather(of_list if is_list else of_text), PARTIAL)
-    sums = radix_sums(partial, spark)
-    counted = df.where(F.col(value_col).isNotNull())
-    total = counted.select(F.countDistinct(id_col) if id_col is not None else F.count(F.lit(1))).first()[0] or 0
+        values = df.select(F.col(value_col).alias("value")).where("value is not null")
+    sums = radix_sums(values.mapInArrow(_gather(of_list if is_list else of_text), PARTIAL))
+    sums = staged(sums, "term-sums")  # read for the number of records and for the verdicts
+    total = sums.where("term is null").agg(F.sum("records")).first()[0] or 0
     verdict = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > F.lit(common_share) * F.lit(int(total)), "common")
     return sums.where("term is not null").withColumn("verdict", verdict)

@@ -8,8 +8,10 @@ hold it 0, 1, 2, … times), and the posterior probability of the elite part
 scores each occurrence count.
 
 One pass over the texts gives both the histograms, added up in the worker before
-anything is shuffled, and the record rows asked for.  Terms share few distinct
-histograms, so a batch fits each of them once.
+anything is shuffled, and the record rows asked for.  The histograms are then added
+up by term and count, so a term of every record is spread over its counts, and only
+the finished ones are gathered by term.  Terms share few distinct histograms, so a
+batch fits each of them once.
 
 Defined results: null text is no record; an empty text is a record without
 terms; rows with the same record id and different texts count as the record with
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from corvane.durable import staged
 from corvane.functions.textops import tokenize
+from corvane.llm.records import distinct_records
 
 #: Distinct (term, count) pairs that a worker gathers before it hands them on.
 GATHERED = 400_000
@@ -38,19 +41,10 @@ RATE_FLOOR = 1e-9
 ID_TYPES = {"bigint": pa.int64(), "string": pa.string()}
 
 
-def records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row (record_id, text) for each id with a non-null text."""
-    return (
-        df.select(F.col(id_col).cast("string" if df.schema[id_col].dataType.typeName() == "string" else "long").alias("record_id"), F.col(text_col).alias("text"))
-        .where(F.col("text").isNotNull() & F.col("record_id").isNotNull())
-        .groupBy("record_id")
-        .agg(F.min("text").alias("text"))
-    )
-
-
 def _pass(min_count: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: Counter = Counter()
+        seen = 0
 
         def flush() -> pa.RecordBatch:
             keys = list(gathered)
@@ -73,6 +67,7 @@ def _pass(min_count: int, id_type: pa.DataType):
             for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tf = Counter(tokenize(text))
                 gathered.update(tf.items())
+                seen += 1
                 for term, c in tf.items():
                     if c >= min_count:
                         terms.append(term)
@@ -84,8 +79,8 @@ def _pass(min_count: int, id_type: pa.DataType):
             )
             if len(gathered) > GATHERED:
                 yield flush()
-        if gathered:
-            yield flush()
+        gathered[(None, 0)] = seen  # the row without a term holds the number of records
+        yield flush()
 
     return run
 
@@ -140,23 +135,22 @@ def _posterior(share: Column, elite: Column, rest: Column, tf: Column) -> Column
 
 
 def distinctive_terms(
-    df: DataFrame, id_col: str, text_col: str, *, min_count: int = 1, min_df: int = 1, max_df: int | None = None
+    df: DataFrame, id_col: str, text_col: str, *, min_count: int = 1, min_df: int = 1, max_df: int | None = None, min_elite: float = 0.0
 ) -> DataFrame:
     """(record_id, term, tf, df, elite, score) for the terms of each record.
 
     ``elite`` is the posterior probability that the record is one of the term's elite; ``score`` weighs it by
     the bits that eliteness is worth, -log2 of the share of elite records, so a term the collection is full of stays
-    low.  ``min_count`` leaves out rows with fewer occurrences and ``min_df``/``max_df`` rows of rarer or commoner
-    terms; the fit itself always sees every record.
+    low.  ``min_elite`` keeps the rows of at least that posterior; ``min_count`` leaves out rows with fewer occurrences
+    and ``min_df``/``max_df`` rows of rarer or commoner terms.  The fit itself always sees every record.
     """
-    unique = records(df, id_col, text_col)
+    unique = distinct_records(df, id_col, text_col)
     id_type = unique.dtypes[0][1]
     seen = staged(unique.mapInArrow(_pass(min_count, ID_TYPES[id_type]), f"term string, tf int, n long, record_id {id_type}"), "term-counts")
-    total = df.where(F.col(text_col).isNotNull()).select(F.countDistinct(F.col(id_col))).first()[0]
+    counts = seen.where("record_id is null")
+    total = int(counts.where("term is null").agg(F.sum("n")).first()[0] or 0)
     hist = (
-        seen.where("record_id is null")
-        .select("term", "tf", "n")
-        .repartition("term")
+        counts.where("term is not null")
         .groupBy("term", "tf")
         .agg(F.sum("n").alias("n"))
         .groupBy("term")
@@ -165,13 +159,12 @@ def distinctive_terms(
     )
     if max_df is not None:
         hist = hist.where(F.col("df") <= max_df)
-    fitted = hist.mapInPandas(_fit(int(total or 0)), "term string, df long, cf long, share double, elite_rate double, rest_rate double")
+    fitted = hist.mapInPandas(_fit(total), "term string, df long, cf long, share double, elite_rate double, rest_rate double")
     rows = seen.where("record_id is not null").select("record_id", "term", "tf")
-    elite = F.when(F.col("df") >= F.lit(int(total or 0)), F.lit(0.0)).otherwise(
-        _posterior(F.col("share"), F.col("elite_rate"), F.col("rest_rate"), F.col("tf"))
-    )
+    elite = F.when(F.col("df") >= F.lit(total), F.lit(0.0)).otherwise(_posterior(F.col("share"), F.col("elite_rate"), F.col("rest_rate"), F.col("tf")))
     return (
         rows.join(fitted, "term")
         .withColumn("elite", elite)
+        .where(F.col("elite") >= min_elite)
         .select("record_id", "term", "tf", "df", "elite", (F.col("elite") * -F.log2("share")).alias("score"))
     )

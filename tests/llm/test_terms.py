@@ -4,10 +4,14 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.functions.textops import tokenize
 from corvane.llm import term_frequency
+from corvane.llm.queries import QUERIES
+from corvane.llm.records import distinct_records
 from corvane.llm.term_frequency import PARTIAL, radix_sums, term_frequencies
 from corvane.llm.term_weights import distinctive_terms, fit_two_poisson
 
@@ -92,19 +96,47 @@ def test_frequencies_of_lists(spark):
     assert got == {"a": (3, 2, "common"), "b": (1, 1, "rare")}
 
 
-def test_radix_splits_large_partitions(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(term_frequency, "PART_ROWS", 500)
-    rows = [(f"t{i % 700}", 1, 1) for i in range(6000)] + [(None, 0, 5)] * 3
-    batches = spark.createDataFrame(rows, PARTIAL).toArrow().to_batches(max_chunksize=211)
-    out = Counter()
-    for b in term_frequency._aggregate(str(tmp_path / "spill"))(iter(batches)):
-        for t, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            assert t not in out
-            out[t] += o
-    assert out == Counter(r[0] for r in rows[:6000]) + Counter() | {None: 0} or {k: v for k, v in out.items() if k} == dict(Counter(r[0] for r in rows[:6000]))
-    assert not list((tmp_path / "spill").iterdir())
-    sums = {r.term: r.records for r in radix_sums(spark.createDataFrame(rows, PARTIAL), spark).collect()}
-    assert sums[None] == 15 and len(sums) == 701
+def test_radix_splits_large_partitions(spark, monkeypatch):
+    """A small bound splits partitions through several levels; a term of a third of the rows comes out whole."""
+    levels = []
+    monkeypatch.setattr(term_frequency, "SPLIT_BITS", 1)
+    real = term_frequency._level
+    monkeypatch.setattr(term_frequency, "_level", lambda *a: levels.append(a[1:4]) or real(*a))
+    rows = [(f"t{i % 700}", 1, 1) for i in range(4000)] + [("hot", 2, 1)] * 2000 + [(None, 0, 5)] * 3
+    got = radix_sums(spark.createDataFrame(rows, PARTIAL).repartition(3), 20_000).collect()
+    want: Counter = Counter()
+    for t, o, _ in rows:
+        want[t] += o
+    assert len(got) == len({r.term for r in got}) == 702
+    assert {r.term: r.occurrences for r in got} == dict(want)
+    assert next(r.records for r in got if r.term is None) == 15
+    assert len(levels) > 2 and levels[0][0] == 1 and levels[1][0] > 1
+
+
+def test_one_aggregation_streams_its_batches():
+    rows = [(f"t{i % 70}", 1, 2) for i in range(600)]
+    batches = pa.Table.from_pylist([dict(zip(("term", "occurrences", "records"), r)) for r in rows], schema=term_frequency.SCHEMA).to_batches(max_chunksize=21)
+    out = [t for b in term_frequency._aggregate(iter(batches)) for t in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(out) == sorted((t, n, 2 * n) for t, n in Counter(r[0] for r in rows).items())
+
+
+def test_repeated_ids(spark, monkeypatch):
+    """Repeated rows count once with their smallest text, whether the repeated ids are broadcast or not."""
+    rows = [(1, "b"), (1, "a"), (1, None), (2, None), (2, "c"), (3, None), (None, "d"), (4, ""), (5, "e"), (5, "e")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "id long, text string, value int")
+    want = {(1, "a"), (2, "c"), (4, ""), (5, "e")}
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr("corvane.llm.records.BROADCAST_IDS", bound)
+        assert [tuple(r) for r in distinct_records(df, "id", "text").orderBy("record_id").collect()] == sorted(want)
+
+
+def test_found_terms_depend_on_the_fit(spark, monkeypatch, tmp_path):
+    """Without elite records in the mixtures there is nothing to find: the rows come through the posterior."""
+    rows = [(i, f"word{i} filler text") for i in range(300)] + [(1001, "zeta " * 5), (1002, "zeta " * 4), (1003, "zeta once")]
+    spark.createDataFrame(rows, "cand_id long, code string").write.parquet(f"{tmp_path}/candidate.parquet")
+    assert {tuple(r) for r in QUERIES["p1_found"](spark, str(tmp_path)).collect()} == {(1001, "zeta"), (1002, "zeta")}
+    monkeypatch.setattr("corvane.llm.term_weights._posterior", lambda *a: F.lit(0.1))
+    assert QUERIES["p1_found"](spark, str(tmp_path)).count() == 0
 
 
 def test_string_ids(spark):
