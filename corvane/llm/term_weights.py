@@ -37,6 +37,8 @@ from corvane.llm.records import distinct_records
 GATHERED = 400_000
 EM_STEPS = 60
 RATE_FLOOR = 1e-9
+#: Terms that a broadcast may hold: the terms of the rows asked for, where those are few.
+BROADCAST_TERMS = 500_000
 #: Spark types of record ids, and how a batch holds them.
 ID_TYPES = {"bigint": pa.int64(), "string": pa.string()}
 
@@ -147,11 +149,16 @@ def distinctive_terms(
     unique = distinct_records(df, id_col, text_col)
     id_type = unique.dtypes[0][1]
     seen = staged(unique.mapInArrow(_pass(min_count, ID_TYPES[id_type]), f"term string, tf int, n long, record_id {id_type}"), "term-counts")
+    rows = seen.where("record_id is not null").select("record_id", "term", "tf")
     counts = seen.where("record_id is null")
     total = int(counts.where("term is null").agg(F.sum("n")).first()[0] or 0)
+    counts = counts.where("term is not null")
+    if min_count > 1:  # then only the terms of some rows need a fit
+        asked = staged(rows.select("term").distinct(), "asked-terms")
+        if asked.count() <= BROADCAST_TERMS:
+            counts = counts.join(F.broadcast(asked), "term", "left_semi")
     hist = (
-        counts.where("term is not null")
-        .groupBy("term", "tf")
+        counts.groupBy("term", "tf")
         .agg(F.sum("n").alias("n"))
         .groupBy("term")
         .agg(F.sort_array(F.collect_list(F.struct("tf", "n"))).alias("hist"), F.sum("n").alias("df"), F.sum(F.col("tf") * F.col("n")).alias("cf"))
@@ -160,7 +167,6 @@ def distinctive_terms(
     if max_df is not None:
         hist = hist.where(F.col("df") <= max_df)
     fitted = hist.mapInPandas(_fit(total), "term string, df long, cf long, share double, elite_rate double, rest_rate double")
-    rows = seen.where("record_id is not null").select("record_id", "term", "tf")
     elite = F.when(F.col("df") >= F.lit(total), F.lit(0.0)).otherwise(_posterior(F.col("share"), F.col("elite_rate"), F.col("rest_rate"), F.col("tf")))
     return (
         rows.join(fitted, "term")
