@@ -93,10 +93,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that can't reach their weight even with all repeats."""
-    from corvane.llm.mixing import source_plan
+    """Sources that can't reach their weight even with all repeats: their slots of the mix outrun their blocks."""
+    from corvane.llm.mixing import short_sources
 
-    return source_plan(table(spark, d, "documents"), table(spark, d, "mix_target")).where("short").select("source")
+    return short_sources(table(spark, d, "documents"), table(spark, d, "mix_target")).select("source")
 
 
 def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares that the mix really reaches."""
     from corvane.llm.mixing import reached_shares
 
-    return reached_shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
+    return reached_shares(table(spark, d, "documents"), table(spark, d, "mix_target")).withColumn("share", F.round("share", 9))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

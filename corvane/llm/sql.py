@@ -42,4 +42,30 @@ s AS (SELECT m.source, weight, max_repeat, coalesce(size, 0) AS size FROM mix_ta
 SELECT source FROM s WHERE size * max_repeat < weight * (SELECT sum(size) FROM s)
 """
 
-SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p7_found": P7_FOUND}
+_MIX = f"""
+targets AS (SELECT source, max(weight) AS weight, max(max_repeat) AS max_repeat FROM mix_target WHERE source IS NOT NULL GROUP BY source),
+docs AS (SELECT doc_id, source, {_UNITS.format("text")}::BIGINT AS tokens FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT source, count(*) AS documents, sum(tokens)::BIGINT AS size FROM docs GROUP BY source),
+plan AS (SELECT source, weight, max_repeat, coalesce(documents, 0) AS documents, coalesce(size, 0) AS size, sum(coalesce(size, 0)) OVER ()::BIGINT AS total
+    FROM targets LEFT JOIN sizes USING (source)),
+sized AS (SELECT *, greatest(10000, (total + 1048575) // 1048576) AS slots FROM plan),
+blocked AS (SELECT *, greatest(total / slots, 1.0::DOUBLE) AS block, greatest(ceil(size / greatest(total / slots, 1.0::DOUBLE)), 1)::BIGINT AS blocks FROM sized),
+bands AS (SELECT source, sum(weight) OVER (ORDER BY source) / sum(weight) OVER () AS high FROM blocked WHERE weight > 0),
+points AS (SELECT slot, ((slot * 2654435769) & 4294967295) / 4294967296.0::DOUBLE AS point FROM range((SELECT max(slots) FROM sized)) r(slot)),
+placed AS (SELECT slot, coalesce((SELECT min(source) FROM bands WHERE point < high), (SELECT max(source) FROM bands)) AS source FROM points),
+ranked AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM placed),
+uses AS (SELECT slot, source, (rank // blocks)::INT AS copy, rank % blocks AS b FROM ranked JOIN blocked USING (source) WHERE rank // blocks < max_repeat),
+hashed AS (SELECT doc_id, source, tokens, block, buckets, h, h % buckets AS bucket FROM (
+    SELECT doc_id, source, tokens, block, greatest(256, ceil(documents / 262144))::BIGINT AS buckets, ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT AS h
+    FROM docs JOIN blocked USING (source) WHERE doc_id IS NOT NULL)),
+cut AS (SELECT doc_id, source, tokens,
+    floor((sum(tokens) OVER (PARTITION BY source ORDER BY bucket, h, doc_id ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT / block)::BIGINT AS b FROM hashed),
+mixed AS (SELECT slot, doc_id, source, copy, tokens FROM cut JOIN uses USING (source, b))"""
+P7_MIXED = f"WITH {_MIX} SELECT slot, doc_id, source, copy, tokens FROM mixed"
+P7_SHARES = f"""
+WITH {_MIX}, got AS (SELECT source, count(*) AS n, sum(tokens)::BIGINT AS t FROM mixed GROUP BY source)
+SELECT source, weight, size, max_repeat, size * max_repeat < weight * total AS short, coalesce(n, 0) AS mixed_documents, coalesce(t, 0) AS mixed_tokens,
+    round(coalesce(coalesce(t, 0) / nullif(sum(coalesce(t, 0)) OVER (), 0), 0), 9)::DOUBLE AS share FROM blocked LEFT JOIN got USING (source)
+"""
+
+SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p7_found": P7_FOUND, "p7_mixed": P7_MIXED, "p7_shares": P7_SHARES}

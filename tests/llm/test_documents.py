@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.textops import estimate_tokens
-from corvane.llm import leaks
+from corvane.llm import leaks, mixing
 from corvane.llm.leaks import WuManber, leaked_items, rendered_words
-from corvane.llm.mixing import mixed_documents, reached_shares, schedule, source_plan
+from corvane.llm.mixing import mixed_documents, reached_shares, schedule, short_sources, slots_of, source_plan
 from corvane.llm.queries import QUERIES
 from corvane.llm.truncation import judged_texts, truncation_rates
 
@@ -120,7 +120,30 @@ def test_every_prefix_of_the_schedule_is_near_the_weights(mix):
     for n, r in enumerate(rows, 1):
         assert r["rank"] == count[r.source]
         count[r.source] += 1
-        assert all(abs(count[s] - w * n) < 5 for s, w in weight.items())
+        assert all(abs(count[s] - w * n) < min(5, mixing.discrepancy(n)) for s, w in weight.items())
+
+
+def test_short_sources_come_from_the_schedule(spark, mix, monkeypatch):
+    """They equal the exact comparison of sizes for weights and caps near the edge, and none comes without slots."""
+    rows, docs, targets = mix
+    size = {r.source: r["size"] for r in source_plan(docs, targets).collect()}
+    total = sum(size.values())
+    for scale in (0.98, 0.9999, 1.0, 1.0001, 1.02, 1.5):
+        t = spark.createDataFrame([(s, scale * m * size[s] / total, m) for s, m in (("a", 1), ("b", 3), ("c", 2))] + [("none", 0.01, 5)], "source string, weight double, max_repeat int")
+        want = {r.source for r in source_plan(docs, t).where("short").collect()}
+        for slots in (50, 500):
+            assert {r.source for r in short_sources(docs, t, slots=slots).collect()} == want
+    real = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda plan, n: real(plan, n).withColumn("source", F.lit("b")))
+    assert "c" not in {r.source for r in short_sources(docs, targets).collect()}
+
+
+def test_ranks_and_buckets_in_many_spans(mix, monkeypatch):
+    _, docs, targets = mix
+    want = {tuple(r) for r in mixed_documents(docs, targets, slots=500).collect()}
+    monkeypatch.setattr(mixing, "SPAN", 64)
+    assert {tuple(r) for r in mixed_documents(docs, targets, slots=500).collect()} == want
+    assert slots_of(100) == 10_000 and slots_of(10**15) * (1 << 20) >= 10**15
 
 
 def test_nothing_to_mix(mix):
