@@ -26,6 +26,9 @@ PASSAGES = {
     "reference": ("<ref>" + ITEM + "</ref>", False),
     "empty": ("", False),
     "null": (None, False),
+    "deep templates": ("{{a|" * 9 + " ".join(ITEM.split()[:5]) + "}}" * 9 + " " + " ".join(ITEM.split()[5:13]), True),
+    "a word in six templates": (ITEM.replace("Velim", "{{a|" * 6 + "Velim" + "}}" * 6), True),
+    "deep links": (ITEM.replace("Velim", "[[b|" * 7 + "Velim" + "]]" * 7), True),
     "long": ("filler words here " * 60_000 + ITEM, True),
 }
 
