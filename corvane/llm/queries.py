@@ -124,7 +124,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often each source cuts texts."""
     from corvane.llm.truncation import truncation_rates
 
-    return truncation_rates(table(spark, d, "documents"))
+    return truncation_rates(table(spark, d, "documents")).withColumn("rate", F.round("rate", 9))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_mixed, p7_shares, p8_found, p8_rates)}

@@ -1,5 +1,8 @@
 """The same results in SQL, for the queries that SQL can express on whole tables."""
 
+from corvane.llm import truncation
+from corvane.llm.dialect import DUCK
+
 _TERMS = r"""
 code AS (SELECT DISTINCT cand_id, code FROM candidate WHERE code IS NOT NULL),
 words AS (SELECT cand_id, unnest(regexp_extract_all(code, '[A-Za-z0-9]+')) AS w FROM code),
@@ -42,6 +45,24 @@ s AS (SELECT m.source, weight, max_repeat, coalesce(size, 0) AS size FROM mix_ta
 SELECT source FROM s WHERE size * max_repeat < weight * (SELECT sum(size) FROM s)
 """
 
+_CUT = f"""
+counts AS ({truncation.trigram_counts(DUCK, "documents")}),
+last AS ({truncation.last_trigrams(DUCK, "documents")}),
+judged AS ({truncation.judged_trigrams(DUCK, "last", "counts")}),
+placed AS ({truncation.placed_texts("last", "judged")}),
+spikes AS ({truncation.spikes("placed")}),
+sharp AS ({truncation.sharp_limits("placed", "spikes")}),
+rest AS ({truncation.rest_texts("placed", "sharp")}),
+mounds AS ({truncation.mounds("rest")}),
+wide AS ({truncation.wide_limits("rest", "mounds")}),
+verdicts AS ({truncation.cut_texts("placed", "sharp", "wide")})"""
+P8_FOUND = f"WITH {_CUT} SELECT DISTINCT doc_id FROM verdicts WHERE by_limit OR by_trigram"
+P8_RATES = f"""
+WITH {_CUT}, cut AS (SELECT source, count(DISTINCT doc_id) AS truncated FROM verdicts WHERE by_limit OR by_trigram GROUP BY source),
+n AS (SELECT source, count(*) AS documents FROM documents WHERE text IS NOT NULL GROUP BY source)
+SELECT n.source, documents, coalesce(truncated, 0) AS truncated, round(coalesce(truncated, 0) / documents, 9)::DOUBLE AS rate FROM n LEFT JOIN cut ON n.source IS NOT DISTINCT FROM cut.source
+"""
+
 _MIX = f"""
 targets AS (SELECT source, max(weight) AS weight, max(max_repeat) AS max_repeat FROM mix_target WHERE source IS NOT NULL GROUP BY source),
 docs AS (SELECT doc_id, source, {_UNITS.format("text")}::BIGINT AS tokens FROM documents WHERE text IS NOT NULL),
@@ -68,4 +89,4 @@ SELECT source, weight, size, max_repeat, size * max_repeat < weight * total AS s
     round(coalesce(coalesce(t, 0) / nullif(sum(coalesce(t, 0)) OVER (), 0), 0), 9)::DOUBLE AS share FROM blocked LEFT JOIN got USING (source)
 """
 
-SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p7_found": P7_FOUND, "p7_mixed": P7_MIXED, "p7_shares": P7_SHARES}
+SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p7_found": P7_FOUND, "p7_mixed": P7_MIXED, "p7_shares": P7_SHARES, "p8_found": P8_FOUND, "p8_rates": P8_RATES}

@@ -205,6 +205,31 @@ def test_truncation(spark, texts):
     assert rates[None].rate == 1.0 and rates["api"].documents == 300 and abs(rates["api"].truncated - sum(i % 3 == 1 for i in cut if i < 900)) <= 2
 
 
+def test_longer_texts_and_second_limits_do_not_hide_a_limit(spark):
+    """One uncut text far above the limit of each source, and a lower limit in some rows, change nothing for the others."""
+    r = random.Random(8)
+    whole = [article(r, r.randint(10, 80)) for _ in range(1500)]
+    cut = {i: (t[:3000] if i % 2 else t[:2000]) for i, t in enumerate(whole) if len(t) > 3000}
+    rows = [(i, "api", cut.get(i, t)) for i, t in enumerate(whole)]
+    longest = [(9000, "api", article(r, 9000)), (9001, "api", article(r, 60))]
+    found = []
+    for extra in ([], longest):
+        judged = judged_texts(spark.createDataFrame(rows + extra, "doc_id long, source string, text string")).collect()
+        found.append({x.doc_id for x in judged if x.by_limit})
+    assert found[0] == found[1] >= set(cut)
+    assert all(len(whole[i]) in (2000, 3000) for i in found[0] - set(cut))  # a whole text of just that length
+
+
+def test_a_verdict_does_not_depend_on_how_often_the_table_is_repeated(spark):
+    r = random.Random(9)
+    rows = [(i, "dump", article(r, r.randint(5, 40))) for i in range(400)]
+    rows += [(1000 + i, "dump", article(r, 10) + " The " + r.choice(WORDS)[: r.randint(1, 5)]) for i in range(6)]
+    want = {x.doc_id for x in judged_texts(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect() if x.by_trigram}
+    many = [(10_000 * k + i, s, t) for k in range(4) for i, s, t in rows]
+    got = {x.doc_id for x in judged_texts(spark.createDataFrame(many, "doc_id long, source string, text string")).collect() if x.by_trigram}
+    assert want == set(range(1000, 1006)) and got == {10_000 * k + i for k in range(4) for i in want}
+
+
 def test_copies_of_a_cut_text_do_not_clear_it(spark):
     r = random.Random(3)
     rows = [(i, "dump", article(r, r.randint(20, 60))) for i in range(300)]
