@@ -13,8 +13,8 @@ Rates decide, not counts.  An end is a cut if its rate lies below
 ``MAX_END_RATE`` with the confidence of ``Z`` standard errors, and a way to end if it
 lies above ``END_RATE`` so.  Where a trigram is too rare to say either, the trigram
 with short words as classes too is asked; where that is too rare as well, the end is a
-cut if its last word is almost never an end and its last two are no way to end, so no
-end stays unjudged.  A short last word may be what a cut left of a longer one, so its
+cut if its last word is almost never an end and its last two are no way to end, so only
+a last word that is rare itself stays unjudged.  A short last word may be what a cut left of a longer one, so its
 ends are weighed against all places of the two words before it.
 
 A cut may fall on the end of a sentence, which no trigram shows.  Such cuts are
@@ -27,7 +27,8 @@ text that stops in the middle of a tag, link or template, in half a character or
 white space is cut whatever its last trigram.
 
 Defined results: null and blank texts are not judged, nor are redirects; a null
-source is a source of its own; a text whose last word occurs nowhere else is no cut.
+source is a source of its own; a text whose last word's class is too rare to have an
+``END_RATE`` with confidence is no cut.
 """
 
 from __future__ import annotations
@@ -112,6 +113,7 @@ def judged_trigrams(q: Dialect, last: str, counts: str) -> str:
         return _bounds(f"({ends} - 1.0)", f"({inside} + {ends} - 1.0)")
 
     (upper, _), (_, lower), (upper3, lower3), (_, lower2) = rates("ends", "inside"), rates("ends", "before"), rates("ends3", "inside3"), rates("ends2", "inside2")
+    upper1, _ = rates("ends1", "inside1")
     return f"""
     WITH tails AS (SELECT a, b, c, ending, count(DISTINCT whole) AS texts FROM {last} WHERE c IS NOT NULL GROUP BY a, b, c, ending),
     stops AS (SELECT a, b, c, count(*) AS e, sum(texts) AS texts FROM tails GROUP BY a, b, c),
@@ -124,7 +126,7 @@ def judged_trigrams(q: Dialect, last: str, counts: str) -> str:
     one AS (SELECT cc, sum(inside2) AS inside1, sum(ends2) AS ends1 FROM two GROUP BY cc)
     SELECT a, b, c, CASE WHEN {upper} < {MAX_END_RATE} THEN true WHEN {lower} > {END_RATE} THEN false
         WHEN {upper3} < {MAX_END_RATE} THEN true WHEN {lower3} > {END_RATE} OR {lower2} > {END_RATE} THEN false
-        ELSE inside1 > 0 AND (ends1 - 1.0) / (inside1 + ends1 - 1.0) < {MAX_END_RATE} END AS internal
+        ELSE {upper1} < {END_RATE} AND (ends1 - 1.0) / (inside1 + ends1 - 1.0) < {MAX_END_RATE} END AS internal
     FROM (SELECT fine.*, CASE WHEN c = cc THEN inside ELSE after END AS before FROM fine JOIN pairs USING (a, b) WHERE ends > 0) f
     JOIN three USING (ca, cb, cc) JOIN two USING (cb, cc) JOIN one USING (cc)"""
 
