@@ -25,3 +25,17 @@ def distinct_records(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
         return rows.groupBy("record_id").agg(F.min("value").alias("value"))
     once = rows.join(F.broadcast(repeated), "record_id", "left_anti")
     return once.unionByName(rows.join(F.broadcast(repeated), "record_id", "left_semi").groupBy("record_id").agg(F.min("value").alias("value")))
+
+
+def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
+    """Each non-null text once, as ``text``.
+
+    Texts whose hash and length no other row has are different from all others, so only the rest is shuffled.  If more
+    hashes come again than a broadcast may hold, all texts are.
+    """
+    keyed = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_h"), F.octet_length(text_col).alias("_n"))
+    repeated = staged(keyed.groupBy("_h", "_n").count().where("count > 1").select("_h", "_n"), "repeated-texts")  # read three times below
+    if repeated.count() > BROADCAST_IDS:
+        return keyed.select("text").distinct()
+    once = keyed.join(F.broadcast(repeated), ["_h", "_n"], "left_anti").select("text")
+    return once.unionByName(keyed.join(F.broadcast(repeated), ["_h", "_n"], "left_semi").select("text").distinct())

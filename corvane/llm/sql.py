@@ -46,7 +46,7 @@ SELECT source FROM s WHERE size * max_repeat < weight * (SELECT sum(size) FROM s
 """
 
 _CUT = f"""
-counts AS ({truncation.trigram_counts(DUCK, "documents")}),
+counts AS ({truncation.trigram_counts(DUCK, "(SELECT DISTINCT text FROM documents)")}),
 last AS ({truncation.last_trigrams(DUCK, "documents")}),
 judged AS ({truncation.judged_trigrams(DUCK, "last", "counts")}),
 placed AS ({truncation.placed_texts("last", "judged")}),

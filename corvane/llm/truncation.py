@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from corvane.durable import staged
 from corvane.llm.dialect import SPARK, Dialect
+from corvane.llm.records import distinct_texts
 from corvane.parallel import spread
 
 #: End rates below which an end is a cut and above which it is a way to end, and standard errors of confidence.
@@ -78,11 +79,11 @@ def _tokens(q: Dialect, text: str) -> str:
     return q.extract_all(text, _TOKEN)
 
 
-def trigram_counts(q: Dialect, docs: str) -> str:
-    """Occurrences of each trigram at any place of any distinct text."""
+def trigram_counts(q: Dialect, texts: str) -> str:
+    """Occurrences of each trigram at any place of texts that differ."""
     grams = q.unnest_zip([f"{q.list_concat(q.array(['^', '^']), 't')}", f"{q.list_concat(q.array(['^']), 't')}", "t"], ["a", "b", "c"])
-    texts = f"SELECT {_tokens(q, 'text')} AS t FROM (SELECT DISTINCT text FROM {docs} WHERE trim(text) != '')"
-    return f"SELECT a, b, c, count(*) AS n FROM (SELECT {grams} FROM ({texts})) WHERE c IS NOT NULL GROUP BY a, b, c"
+    listed = f"SELECT {_tokens(q, 'text')} AS t FROM {texts} WHERE trim(text) != ''"
+    return f"SELECT a, b, c, count(*) AS n FROM (SELECT {grams} FROM ({listed})) WHERE c IS NOT NULL GROUP BY a, b, c"
 
 
 def last_trigrams(q: Dialect, docs: str) -> str:
@@ -236,7 +237,7 @@ def judged_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, source, by_limit, by_trigram) for each text that is judged: whether each of the two signs shows a cut."""
     spark = documents.sparkSession
     docs = spread(documents.where("text is not null").select("doc_id", "source", "text"), "doc_id")
-    counts = staged(_sql(spark, trigram_counts(SPARK, "{docs}"), docs=docs), "trigram-counts")  # read for each level
+    counts = staged(_sql(spark, trigram_counts(SPARK, "{texts}"), texts=distinct_texts(docs, "text")), "trigram-counts")  # read for each level
     last = staged(_sql(spark, last_trigrams(SPARK, "{docs}"), docs=docs), "last-trigrams")  # read twice below
     judged = _sql(spark, judged_trigrams(SPARK, "{last}", "{counts}"), last=last, counts=counts)
     placed = staged(_sql(spark, placed_texts("{last}", "{judged}"), last=last, judged=judged), "placed-texts")  # read for the limits and for the verdicts

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions.textops import tokenize
 from corvane.llm import term_frequency
 from corvane.llm.queries import QUERIES
-from corvane.llm.records import distinct_records
+from corvane.llm.records import distinct_records, distinct_texts
 from corvane.llm.term_frequency import PARTIAL, radix_sums, term_frequencies
 from corvane.llm.term_weights import distinctive_terms, fit_two_poisson
 
@@ -130,6 +130,13 @@ def test_repeated_ids(spark, monkeypatch):
         assert [tuple(r) for r in distinct_records(df, "id", "text").orderBy("record_id").collect()] == sorted(want)
 
 
+def test_repeated_texts(spark, monkeypatch):
+    df = spark.createDataFrame([("a",), ("a",), (None,), ("",), ("b",), ("a",)], "value string")
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr("corvane.llm.records.BROADCAST_IDS", bound)
+        assert sorted(r.text for r in distinct_texts(df, "value").collect()) == ["", "a", "b"]
+
+
 def test_found_terms_depend_on_the_fit(spark, monkeypatch, tmp_path):
     """Without elite records in the mixtures there is nothing to find: the rows come through the posterior."""
     rows = [(i, f"word{i} filler text") for i in range(300)] + [(1001, "zeta " * 5), (1002, "zeta " * 4), (1003, "zeta once")]
