@@ -1,8 +1,9 @@
 """Functions paired with their documentation.
 
-For each function, method or def of a file's symbols, the lines before it (and,
-in Python, after its signature) are parsed by a packrat grammar of the file's
-language; its actions keep source offsets and emit documentation-function pairs.
+Each file is parsed by a packrat grammar of its language: comments, what may stand
+between them and a function, the functions themselves (those of the file's symbols),
+in Python the string that begins a body, and where a body ends.  Its actions keep
+source offsets and emit documentation-function pairs.
 A comment block or an unbroken run of comment lines belongs to the function if
 it ends on the line directly above, or above decorator lines; so does a string
 that is the first statement of a Python body.  Pairs are dropped unless the
@@ -10,12 +11,13 @@ documentation holds ``MIN_WORDS`` words of prose besides the words of the
 function's name; comment marks, tags with their types and parameter names, linter
 directives and commented-out code are no prose.
 
-The grammar is run on the stretch of text that can hold the pair, not on the
-whole file, so the work grows with the documentation and not with the source.
+Code between comments is one terminal, so a file is read once at the speed of the
+regular expressions, and only functions that come out have their ends parsed.
 
 Defined results: null text, null symbols, symbols without a line or beyond the
-end of the text give nothing; a missing end line runs to the line before the next
-symbol; several symbols on one line are one pair each.
+end of the text give nothing; several symbols on one line are one pair each; a
+function whose end the grammar doesn't find (brackets never closed) ends where its
+symbol does, or with the line before the next symbol.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.lang import detect_lang_py
 from corvane.functions.textops import split_identifier
-from corvane.llm.peg import Expression, action, choice, many, maybe, rule, seq, term
+from corvane.llm.peg import Expression, Result, action, balanced, choice, many, maybe, rule, seq, term
 
 MIN_WORDS = 4
 KINDS = ("function", "method", "def")
@@ -40,41 +42,75 @@ _STYLE = {"py": (HASH, False, r"@"), "rb": (HASH, False, r"@(?!@)"), "php": ("//
 _DEFAULT = (SLASH, True, r"@|\[\[")
 
 
+def listed(s: str, i: int, memo: dict) -> Result:
+    """The start of a line on which the file's symbols have a function; its value is the place."""
+    return (i, i) if i in memo["functions"] else None
+
+
 class Grammar:
-    """A language's comment, decorator and string rules, and the parser of a documented function made of them."""
+    """A language's rules: comments, decorators, strings, and documented functions made of them."""
 
     def __init__(self, lang: str):
         marks, blocks, decorator = _STYLE.get(lang, _DEFAULT)
-        self.python = lang == "py"
-        self.is_comment = re.compile(rf"\s*(?:{marks})").match
-        self.is_decorator = re.compile(rf"\s*(?:{decorator})").match
-        self.blocks = blocks
-        eol = r"[^\n]*\n"
-        line = term(rf"[ \t]*(?:{marks}){eol}")
-        run = rule(many(line, 1))
-        block = term(r"[ \t]*/\*.*?\*/[ \t]*\r?\n", re.S)
+        self.python, self.ruby = lang == "py", lang == "rb"
+        eol = r"[^\n]*(?:\n|\Z)"
+        run = rule(many(term(rf"[ \t]*(?:{marks}){eol}"), 1))
+        block = rule(term(r"[ \t]*/\*[^*]*\*+(?:[^/*][^*]*\*+)*/[ \t]*\r?(?:\n|\Z)"))
         comment = choice(block, run) if blocks else run
-        documentation = action(rule(comment), lambda s, a, b, v: (a, b))
-        self.pair: Expression = seq(documentation, many(rule(term(rf"[ \t]*(?:{decorator}){eol}"))))
+        documentation = action(comment, lambda s, a, b, v: (a, b))
+        decorators = many(rule(term(rf"[ \t]*(?:{decorator}){eol}")))
+        documented = action(seq(documentation, decorators, listed), lambda s, a, b, v: (v[2], v[0]))
+        opener = rf"{marks}|/\*" if blocks else marks
+        code = term(rf"(?:(?![ \t]*(?:{opener}))[^\n]*\n)+|{eol}")
+        other = action(choice(comment, code), lambda s, a, b, v: None)
+        #: Values are (place of a function, span of its documentation), None for other comments and code.
+        self.source: Expression = many(choice(documented, other))
+
         quoted = choice(
             term(r"'''(?:[^\\]|\\.)*?'''", re.S),
             term(r'"""(?:[^\\]|\\.)*?"""', re.S),
             term(r"'(?:[^'\\\n]|\\.)*'"),
             term(r'"(?:[^"\\\n]|\\.)*"'),
         )
-        string = rule(quoted)
-        note = term(r"#[^\n]*")
-
-        def brackets(s: str, i: int, memo: dict):
-            return nested(s, i, memo)
-
-        nested = rule(seq(term(r"[(\[{]"), many(choice(term(r"[^()\[\]{}'\"#]+"), string, note, brackets)), term(r"[)\]}]")))
-        header = seq(term(r"[ \t]*(?:async[ \t]+)?def\b[^(\n]*"), nested, many(choice(term(r"[^:\[\](){}'\"#\n]+"), string, nested)), term(r":"))
-        gap = many(choice(term(r"[ \t\r]+"), term(r"\n"), note))
-        literal = seq(maybe(term(r"[rRuU]{1,2}(?=['\"])")), action(string, lambda s, a, b, v: (a, b)))
+        note = term(r"#[^\n]*") if marks != SLASH else term(r"//[^\n]*|/\*.*?\*/", re.S)
+        if marks.startswith(SLASH) and marks != SLASH:
+            note = choice(term(r"//[^\n]*|/\*.*?\*/", re.S), note)
+        skip = choice(note, rule(quoted), term(r"`(?:[^`\\]|\\.)*`", re.S)) if not self.python else choice(note, rule(quoted))
+        nested = rule(balanced(skip))
+        header = seq(term(r"[ \t]*(?:async[ \t]+)?def\b[^(\n]*"), nested, many(choice(term(r"[^:\[\](){}'\"#\n]+"), rule(quoted), nested)), term(r":"))
+        gap = many(choice(term(r"[ \t\r]+"), term(r"\n"), term(r"#[^\n]*")))
+        literal = seq(maybe(term(r"[rRuU]{1,2}(?=['\"])")), action(quoted, lambda s, a, b, v: (a, b)))
+        #: A Python function with a string as its first statement; the value is the string's span.
         self.body_string: Expression = action(seq(header, gap, literal), lambda s, a, b, v: v[2][1])
-
-
+        self.header = header
+        #: A function in braces, or a statement up to its semicolon.
+        part = choice(term(r"[^(){}\[\];'\"`/#]+"), skip, rule(balanced(skip, "([", ")]")), term(r"[/#'\"`]"))
+        self.braced: Expression = seq(many(part), choice(balanced(skip), term(";")))
+
+    def end(self, s: str, start: int, before: int, memo: dict) -> int | None:
+        """Where the function that starts at ``start`` ends; its body begins before ``before``, the next symbol."""
+        if self.python or self.ruby:
+            if self.python and (r := self.header(s, start, memo)) is None:
+                return None
+            indent = len(_INDENT.match(s, start)[0].expandtabs())
+            at = last = s.find("\n", r[0] if self.python else start) + 1 or len(s)
+            while at < len(s):  # deeper and blank lines, and Ruby's closing word
+                stop = s.find("\n", at) + 1 or len(s)
+                row = s[at:stop]
+                if row.strip() and len(_INDENT.match(row)[0].expandtabs()) <= indent and not row.lstrip().startswith((")", "]", "}")):
+                    return stop if self.ruby and row.split()[0] in ("end", "end;") else last
+                if row.strip():
+                    last = stop
+                at = stop
+            return last
+        opening = s.find("{", start)
+        if not start <= opening < before and ";" not in s[start:before]:
+            return None
+        r = self.braced(s, start, memo)
+        return r[0] if r else None
+
+
+_INDENT = re.compile(r"[ \t]*")
 _grammars: dict[str, Grammar] = {}
 
 
@@ -84,33 +120,6 @@ def grammar(lang: str) -> Grammar:
     return _grammars[lang]
 
 
-def documentation_spans(text: str, rows: list[str], starts: list[int], at: int, g: Grammar, memo: dict) -> list[tuple[int, int]]:
-    """Offsets of the documentation of the function on line ``at`` (from 0): above it, and in its body."""
-    spans = []
-    j = at - 1
-    while j >= 0 and g.is_decorator(rows[j]) and not g.is_comment(rows[j]):
-        j -= 1
-    top = None
-    if j >= 0:
-        if g.is_comment(rows[j]):
-            top = j
-            while top > 0 and g.is_comment(rows[top - 1]):
-                top -= 1
-        elif g.blocks and rows[j].rstrip().endswith("*/"):
-            top = j
-            while top >= 0 and "/*" not in rows[top]:
-                top -= 1
-    if top is not None and top >= 0:
-        r = g.pair(text, starts[top], memo)
-        if r is not None and r[0] == starts[at]:
-            spans.append(r[1][0])
-    if g.python:
-        r = g.body_string(text, starts[at], memo)
-        if r is not None:
-            spans.append(r[1])
-    return spans
-
-
 _MARKS = re.compile(r"^\s*(?:/\*+!?|\*+/|\*+(?!/)|//+!?|#+[:!]?(?!\[)|--+)?\s?")
 _CLOSE = re.compile(r"\s*\*+/\s*$")
 _QUOTE = re.compile(r"^(?:'''|\"\"\"|['\"])|(?:'''|\"\"\"|['\"])$")
@@ -185,19 +194,31 @@ def pairs_of(text: str, lang: str, symbols: list[dict], min_words: int = MIN_WOR
     for row in rows:
         starts.append(starts[-1] + len(row) + 1)
     g = grammar(lang)
-    memo: dict = {}
-    wanted = sorted((s["line"], s["name"] or "", s["kind"], s["end_line"]) for s in symbols if s and s["line"] is not None and 1 <= s["line"] <= len(rows) and s["kind"] in KINDS)
+    wanted = sorted({(s["line"], s["name"] or "", s["kind"], s["end_line"]) for s in symbols if s and s["line"] is not None and 1 <= s["line"] <= len(rows) and s["kind"] in KINDS}, key=lambda s: s[:3])
+    memo: dict = {"functions": {starts[s[0] - 1] for s in wanted}}
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for place, span in filter(None, g.source(text, 0, memo)[1]):
+        spans.setdefault(place, []).append(span)
+    if g.python:
+        for place in memo["functions"]:
+            if r := g.body_string(text, place, memo):
+                spans.setdefault(place, []).append(r[1])
     at = sorted({s["line"] for s in symbols if s and s["line"] is not None})
     after = {a: b - 1 for a, b in zip(at, at[1:])}
     out = []
-    for line, name, kind, end in sorted(wanted, key=lambda s: (s[0], s[1], s[2])):
+    for line, name, kind, end in wanted:
         best = None
-        for a, b in documentation_spans(text, rows, starts, line - 1, g, memo):
+        for a, b in spans.get(starts[line - 1], ()):
             n = prose_words(text[a:b], name)
             if n >= min_words and (best is None or n > best[0]):
                 best = (n, a, b)
         if best:
-            last = max(line, min(end if end is not None else after.get(line, len(rows)), len(rows)))
+            following = min(after.get(line, len(rows)), len(rows))
+            stop = g.end(text, starts[line - 1], starts[max(line, following)], memo)
+            if stop is None:
+                last = max(line, min(end if end is not None else following, len(rows)))
+            else:
+                last = max(line, text.count("\n", 0, stop) + (not text[:stop].endswith("\n")))
             n, a, b = best
             out.append((line, name, kind, last, a, b, n, text[a:b].strip("\n"), "\n".join(rows[line - 1 : last])))
     return out

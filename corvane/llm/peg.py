@@ -90,3 +90,30 @@ def rule(part: Expression) -> Expression:
         return memo[at]
 
     return parse
+
+
+def balanced(skip: Expression, opening: str = "([{", closing: str = ")]}") -> Expression:
+    """A bracket and all up to the one that closes it, at any depth without recursion; ``skip`` takes strings and comments whole."""
+    plain = re.compile(f"[^{re.escape(opening + closing)}'\"`/#]+").match
+
+    def parse(s: str, i: int, memo: dict) -> Result:
+        start, depth = i, 0
+        if i >= len(s) or s[i] not in opening:
+            return None
+        while i < len(s):
+            if s[i] in opening:
+                depth += 1
+            elif s[i] in closing:
+                depth -= 1
+                if not depth:
+                    return i + 1, (start, i + 1)
+            elif m := plain(s, i):
+                i = m.end()
+                continue
+            elif (r := skip(s, i, memo)) is not None and r[0] > i:
+                i = r[0]
+                continue
+            i += 1
+        return None
+
+    return parse

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from corvane.llm import function_docs
 from corvane.llm.function_docs import documented_functions, pairs_of, prose_words
 from corvane.llm.generated_files import FEATURES, file_features, judged_files, shingle_sample
 from corvane.llm.splitting import oversized_pieces, split_text, units
@@ -238,7 +239,35 @@ def test_documented_functions(spark):
     text = spark.createDataFrame([(1, PY), (2, JS), (3, PY), (5, None), (6, "")], "file_id long, content string")
     got = documented_functions(spark.createDataFrame(rows, schema), text).orderBy("file_id", "name").collect()
     assert [(r.file_id, r.sym_line, r.name) for r in got] == [(1, 2, "add"), (2, 10, "find"), (2, 10, "find2")]
-    assert got[0].end_line == 4 and documented_functions(spark.createDataFrame([], schema), text).count() == 0
+    assert got[0].end_line == 3 and documented_functions(spark.createDataFrame([], schema), text).count() == 0
+
+
+def test_ends_of_functions():
+    """Code runs from the header to the end of the body, whatever symbols stand inside or after it."""
+    js = "// Adds all of these numbers.\nfunction a(x = {}) {\n  const b = '}';\n  return `{${b}`; // }\n}\n// Other words that stand here.\nfunction c(x) {\n}\n"
+    got = pairs_of(js, "js", [sym("a", 2), sym("b", 3, "const"), sym("c", 7)])
+    assert [(p[1], p[0], p[3]) for p in got] == [("a", 2, 5), ("c", 7, 8)] and got[0][8].endswith("\n}")
+    py = "def a(\n    x,\n):\n    \"\"\"Says four or more words.\"\"\"\n    def b():\n        pass\n\n    return b\n\n# next\nx = 1\n"
+    assert [(p[0], p[3]) for p in pairs_of(py, "py", [sym("a", 1, "def"), sym("b", 5, "def")])] == [(1, 8)]
+    rb = "# Says four or more words.\ndef a\n  if x\n    y\n  end\nend\n\ndef b\nend\n"
+    assert [(p[0], p[3]) for p in pairs_of(rb, "rb", [sym("a", 2, "def"), sym("b", 8, "def")])] == [(2, 6)]
+    assert [(p[0], p[3]) for p in pairs_of("// Says four or more words.\nfunction a() {\n x\n", "js", [sym("a", 2, end=3)])] == [(2, 3)]
+
+
+def test_deep_brackets_do_not_end_the_parse():
+    deep = "[" * 50_000 + "]" * 50_000
+    text = f'def f(a={deep}):\n    """Says four or more words."""\n'
+    assert [p[1] for p in pairs_of(text, "py", [sym("f", 1, "def")])] == ["f"]
+    open_ = "def f(a=" + "[" * 50_000 + '):\n    """Says four or more words."""\n'
+    assert pairs_of(open_, "py", [sym("f", 1, "def")]) == []
+    js = "// Says four or more words.\nfunction f(a) " + "{" * 50_000 + "}" * 50_000 + "\n"
+    assert [p[1] for p in pairs_of(js, "js", [sym("f", 2)])] == ["f"]
+
+
+def test_without_the_grammar_there_are_no_pairs(monkeypatch):
+    g = function_docs.grammar("js")
+    monkeypatch.setattr(g, "source", lambda s, i, memo: (i, []))
+    assert pairs_of(JS, "js", [sym("find", 10), sym("method", 21)]) == []
 
 
 def test_long_comments_parse_in_linear_time():
