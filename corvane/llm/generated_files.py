@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +56,10 @@ _MADE = re.compile(
     r"\bgenerado (?:por|autom|con|desde)|no (?:editar|modificar)|gerado (?:por|autom)|сгенерирован|не редактировать|не изменять|自动生成|請勿編輯|请勿编辑|自動生成",
     re.I,
 )
-_UNMADE = re.compile(r"(?:kept|maintained|edited|written|changed|tended) by hand|hand[- ](?:written|edited|maintained)|edit freely|no longer generated|not generated|was once generated|safe to edit|first made|originally generated", re.I)
+_UNMADE = re.compile(r"(?:kept|maintained|edited|written|changed) by hand|hand[- ](?:written|edited|maintained)|edit freely|no longer generated|not generated|was once generated|safe to edit|originally generated", re.I)
 _COPIED = re.compile(
     r"\b(?:copied|vendored|imported|taken|borrowed|adapted|ported|lifted|forked|mirrored)\s+(?:verbatim\s+|unchanged\s+)?from\s+\S+|\bupstream\b|"
-    r"\bpart of the \S+ (?:distribution|library|package|project)\b|\bv\d+(?:\.\d+)+\b.{0,40}\b(?:licen[cs]e|licen[cs]ed|released)\b|^\W*\(c\) the \S+ contributors",
+    r"\bpart of the \S+ (?:distribution|library|package|project)\b|\bv\d+(?:\.\d+)+\b.{0,40}\b(?:licen[cs]e|licen[cs]ed|released)\b",
     re.I,
 )
 _ACCESSOR = re.compile(r"\b(?:get|set|is|has)_?\w*?\d+\s*\(|\bfields?\[\d+\]|\.f\d+\b", re.I)
@@ -229,23 +230,58 @@ GENERATED_PATH = (
 VENDORED_PATH = r"(?i)(^|/)(vendor|vendored|third[_-]?party|3rd[_-]?party|node_modules|bower_components|deps|external|externals)/[^/]+/"
 MINIFIED_PATH = r"(?i)[.-]min\.(js|css|mjs)$|\.bundle\.js$"
 
-# Thresholds by language: share of code in long lines, mean line, share of literal lines, literal lines, share of encoded runs.
-DEFAULT_LIMITS = (0.6, 120.0, 0.8, 25, 0.5)
-LIMITS = {
-    "js": (0.6, 120.0, 0.8, 20, 0.5), "jsx": (0.6, 120.0, 0.8, 20, 0.5), "ts": (0.6, 120.0, 0.8, 20, 0.5), "tsx": (0.6, 120.0, 0.8, 20, 0.5),
-    "py": (0.7, 150.0, 0.8, 20, 0.5), "c": (0.7, 150.0, 0.85, 20, 0.5), "cpp": (0.7, 150.0, 0.85, 20, 0.5), "go": (0.7, 150.0, 0.8, 25, 0.5),
-    "php": (0.7, 150.0, 0.8, 25, 0.5),
-}
+class Limits(NamedTuple):
+    """Layout thresholds of a language."""
+
+    long_share: float  # code in long lines, of a minified file
+    mean_line: float
+    space_share: float  # white space, at most: of a minified file with some long lines
+    literal_share: float  # lines of literals only, of data
+    literal_lines: int
+    digit_share: float  # digits among all characters, of numeric data
+    encoded_share: float  # long encoded runs
+    alnum_share: float  # letters and digits, of encoded data in short lines
 
 
-def _limit(lang: Column, k: int) -> Column:
-    out = F.lit(DEFAULT_LIMITS[k])
-    for name, limits in LIMITS.items():
-        if limits[k] != DEFAULT_LIMITS[k]:
-            out = F.when(lang == name, F.lit(limits[k])).otherwise(out)
+# Languages whose code breaks lines more (py, go) or holds more figures and tables (c, cpp) than the rest.
+DEFAULT_LIMITS = Limits(0.6, 120.0, 0.08, 0.8, 25, 0.12, 0.5, 0.92)
+LIMITS = {
+    **dict.fromkeys(("js", "jsx", "ts", "tsx"), DEFAULT_LIMITS._replace(literal_lines=20)),
+    "py": Limits(0.7, 150.0, 0.06, 0.8, 20, 0.12, 0.5, 0.92),
+    "go": Limits(0.7, 150.0, 0.06, 0.8, 25, 0.12, 0.5, 0.92),
+    "php": Limits(0.7, 150.0, 0.08, 0.8, 25, 0.12, 0.5, 0.92),
+    **dict.fromkeys(("c", "cpp"), Limits(0.7, 150.0, 0.08, 0.85, 20, 0.18, 0.5, 0.92)),
+}
+#: What goes with a threshold on characters: some code in long lines, and half the lines literals.
+SOME_LONG, HALF_LITERAL = 0.3, 0.5
+
+
+def _limit(lang: Column, name: str) -> Column:
+    usual = getattr(DEFAULT_LIMITS, name)
+    out = F.lit(usual)
+    for known, limits in LIMITS.items():
+        if (value := getattr(limits, name)) != usual:
+            out = F.when(lang == known, F.lit(value)).otherwise(out)
     return out
 
 
+def layout_reason(lang: Column, path: Column) -> Column:
+    """``minified`` or ``data`` if the layout statistics say so, else null."""
+    at_least = {name: F.col(name) >= _limit(lang, name) for name in Limits._fields if name != "space_share"}
+    dense = F.col("space_share") <= _limit(lang, "space_share")
+    minified = (
+        at_least["long_share"] & at_least["mean_line"]
+        | dense & (F.col("max_line") > LONG) & (F.col("long_share") >= SOME_LONG)
+        | path.rlike(MINIFIED_PATH) & (F.col("mean_line") >= 80)
+    )
+    data = (
+        at_least["literal_lines"] & (at_least["literal_share"] | at_least["digit_share"] & (F.col("literal_share") >= HALF_LITERAL))
+        | at_least["encoded_share"]
+        | at_least["alnum_share"] & dense
+    )
+    return F.when(lang != "text", F.when(minified, "minified").when(data, "data"))
+
+
 def prefix_size(n: int, similarity: float) -> int:
     """How many first hashes of a set of ``n`` hold one of any set that similar."""
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
@@ -289,8 +325,7 @@ def copied_files(sketches: DataFrame, sets: DataFrame, *, min_words: int = MIN_W
     h, n = top["h"].to_numpy(), top["count"].to_numpy()
     order = np.argsort(h)
     first = sets.mapInArrow(_prefixes(h[order], n[order], similarity), "k long, n int, h long")
-    # One shuffle by hash serves both sides of the join; equal sets become one there.
-    first = first.repartition("h").dropDuplicates(["h", "k"])
+    first = staged(first.dropDuplicates(["h", "k"]), "first-hashes")  # equal sets become one; both sides of the join below, which may split a hot hash
     a, b = first.select("h", F.col("k").alias("ka"), F.col("n").alias("na")), first.select("h", F.col("k").alias("kb"), F.col("n").alias("nb"))
     least, most = F.least("na", "nb"), F.greatest("na", "nb")
     shared = a.join(b, "h").where((F.col("ka") < F.col("kb")) & (least >= most * similarity - 1e-6)).groupBy("ka", "kb", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
@@ -320,29 +355,33 @@ def copied_files(sketches: DataFrame, sets: DataFrame, *, min_words: int = MIN_W
     return found.groupBy("file_id").agg(F.max("jaccard").alias("copy_similarity"))
 
 
+def file_table(files: DataFrame, file_text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The features of each file with content, staged, and the same with repo, path and lang but without the shingle sets."""
+    texts = file_text.where("content is not null and file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), "content")
+    features = staged(spread(texts, "file_id").mapInArrow(_features, DDL), "file-features")  # read several times by what follows
+    meta = files.where("file_id is not null").select(
+        F.col("file_id").cast("long").alias("file_id"), "repo", "path", F.coalesce(F.lower("lang"), detect_lang(F.col("path")), F.lit("text")).alias("lang")
+    )
+    return features, features.drop("sketch").join(meta, "file_id")
+
+
+def near_copies(files: DataFrame, file_text: DataFrame) -> DataFrame:
+    """(file_id, copy_similarity) of the files that are like one of another repo."""
+    features, judged = file_table(files, file_text)
+    return copied_files(judged.select("file_id", "repo", "words", "sketch_key", "sketch_size"), features.select("words", "sketch_key", "sketch_size", "sketch"))
+
+
 def judged_files(files: DataFrame, file_text: DataFrame) -> DataFrame:
     """Each file with content: its layout statistics, each signal, and ``reason``, null for hand-written source.
 
     ``reason`` is the first that holds of ``minified``, ``data``, ``generated`` and ``copied``.
     """
-    texts = file_text.where("content is not null and file_id is not null").select(F.col("file_id").cast("long").alias("file_id"), "content")
-    features = staged(spread(texts, "file_id").mapInArrow(_features, DDL), "file-features")  # read several times below
-    meta = files.where("file_id is not null").select(
-        F.col("file_id").cast("long").alias("file_id"), "repo", "path", F.coalesce(F.lower("lang"), detect_lang(F.col("path")), F.lit("text")).alias("lang")
-    )
-    judged = features.drop("sketch").join(meta, "file_id")
+    features, judged = file_table(files, file_text)
     copies = copied_files(judged.select("file_id", "repo", "words", "sketch_key", "sketch_size"), features.select("words", "sketch_key", "sketch_size", "sketch"))
     code = F.col("lang") != "text"
     path = F.coalesce(F.col("path"), F.lit(""))
     lang = F.col("lang")
-    minified = code & (
-        (F.col("long_share") >= _limit(lang, 0)) & (F.col("mean_line") >= _limit(lang, 1)) | path.rlike(MINIFIED_PATH) & (F.col("mean_line") >= 80)
-    )
-    data = code & (
-        (F.col("literal_share") >= _limit(lang, 2)) & (F.col("literal_lines") >= _limit(lang, 3))
-        | (F.col("encoded_share") >= _limit(lang, 4))
-    )
     generated = F.col("made_mark") | ~F.col("hand_mark") & code & (path.rlike(GENERATED_PATH) | (F.col("accessor_share") >= ACCESSOR_SHARE))
     copied = F.col("copy_mark") | path.rlike(VENDORED_PATH) | F.col("copy_similarity").isNotNull()
-    reason = F.when(minified, "minified").when(data, "data").when(generated, "generated").when(copied, "copied")
+    reason = F.coalesce(layout_reason(lang, path), F.when(generated, "generated").when(copied, "copied"))
     return judged.drop("sketch_key", "sketch_size").join(copies, "file_id", "left").withColumn("reason", reason)

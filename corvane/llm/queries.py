@@ -41,6 +41,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_judged(spark, d).where("reason is not null").select("file_id").distinct()
 
 
+def p2_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Files like one of another repo, with the similarity of the likest."""
+    from corvane.llm.generated_files import near_copies
+
+    return near_copies(table(spark, d, "files"), table(spark, d, "file_text")).select("file_id", F.round("copy_similarity", 6).alias("copy_similarity"))
+
+
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Functions with their documentation."""
     from corvane.llm.function_docs import documented_functions
@@ -127,5 +134,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(table(spark, d, "documents")).withColumn("rate", F.round("rate", 9))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_mixed, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_copies, p2_judged, p3_found, p3_pairs, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_leaks, p7_found, p7_mixed, p7_shares, p8_found, p8_rates)}
 

@@ -20,6 +20,22 @@ WITH {_TERMS}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT cand_id, term FROM tf JOIN df USING (term) WHERE n >= 4 AND df BETWEEN 2 AND 6
 """
 
+# Shingles of five words of a file without the comments at its head, joined file to file.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+P2_COPIES = rf"""
+WITH texts AS (SELECT file_id, coalesce('r' || repo, 'f' || file_id) AS repo, content, string_split(content, chr(10)) AS rows FROM files JOIN file_text USING (file_id) WHERE content IS NOT NULL),
+heads AS (SELECT *, list_position(list_transform(rows, lambda r: NOT (regexp_matches(r, '^\s*$') OR starts_with(r, '<?')
+    OR regexp_matches(r, '^\s*(//|/\*|\*|--|<!--|;|[''"]{{3}})')
+    OR regexp_matches(r, '^\s*#') AND NOT regexp_matches(r, '^\s*#(include|define|if|endif|pragma|\[)'))), true) AS first FROM texts),
+bodies AS (SELECT file_id, repo, CASE WHEN first > 1 THEN array_to_string(rows[first:], chr(10)) ELSE content END AS body FROM heads),
+words AS (SELECT file_id, repo, list_transform(regexp_extract_all(body, '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+'), lambda w: translate(w, '{_UPPER}', '{_LOWER}')) AS w FROM bodies),
+shingles AS (SELECT DISTINCT file_id, repo, s FROM (SELECT file_id, repo, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) >= 40)),
+sizes AS (SELECT file_id, count(*) AS n FROM shingles GROUP BY file_id),
+shared AS (SELECT a.file_id AS x, b.file_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.repo != b.repo GROUP BY ALL),
+alike AS (SELECT x, c / (p.n + q.n - c) AS jaccard FROM shared JOIN sizes p ON p.file_id = x JOIN sizes q ON q.file_id = y)
+SELECT x AS file_id, round(max(jaccard), 6)::DOUBLE AS copy_similarity FROM alike WHERE jaccard >= 0.8 GROUP BY x
+"""
+
 P4_FOUND = f"""
 WITH c AS (SELECT DISTINCT cand_id, start_line AS s, code FROM candidate WHERE code IS NOT NULL),
 t AS (SELECT chunk_id, array_to_string(list_slice(string_split(code, chr(10)), i.start_line - s + 1, i.end_line - s + 1), chr(10)) AS text
@@ -89,4 +105,4 @@ SELECT source, weight, size, max_repeat, size * max_repeat < weight * total AS s
     round(coalesce(coalesce(t, 0) / nullif(sum(coalesce(t, 0)) OVER (), 0), 0), 9)::DOUBLE AS share FROM blocked LEFT JOIN got USING (source)
 """
 
-SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p7_found": P7_FOUND, "p7_mixed": P7_MIXED, "p7_shares": P7_SHARES, "p8_found": P8_FOUND, "p8_rates": P8_RATES}
+SQL = {"p1_found": P1_FOUND, "p2_copies": P2_COPIES, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p7_found": P7_FOUND, "p7_mixed": P7_MIXED, "p7_shares": P7_SHARES, "p8_found": P8_FOUND, "p8_rates": P8_RATES}
