@@ -325,7 +325,7 @@ def copied_files(sketches: DataFrame, sets: DataFrame, *, min_words: int = MIN_W
     h, n = top["h"].to_numpy(), top["count"].to_numpy()
     order = np.argsort(h)
     first = sets.mapInArrow(_prefixes(h[order], n[order], similarity), "k long, n int, h long")
-    first = staged(first.dropDuplicates(["h", "k"]), "first-hashes")  # equal sets become one; both sides of the join below, which may split a hot hash
+    first = first.dropDuplicates(["h", "k"])  # equal sets become one; both sides of the join below reuse the shuffle, and it may split a hot hash
     a, b = first.select("h", F.col("k").alias("ka"), F.col("n").alias("na")), first.select("h", F.col("k").alias("kb"), F.col("n").alias("nb"))
     least, most = F.least("na", "nb"), F.greatest("na", "nb")
     shared = a.join(b, "h").where((F.col("ka") < F.col("kb")) & (least >= most * similarity - 1e-6)).groupBy("ka", "kb", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
