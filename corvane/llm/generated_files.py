@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from corvane.durable import staged
 from corvane.parallel import spread
 from corvane.functions.lang import detect_lang
+from corvane.llm.records import distinct_records
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -318,14 +319,14 @@ def copied_files(sketches: DataFrame, sets: DataFrame, *, min_words: int = MIN_W
     enough = (F.col("words") >= min_words) & (F.col("sketch_size") > 0)
     s = sketches.where(enough).select("file_id", F.coalesce(F.xxhash64("repo"), -F.col("file_id")).alias("repo"), F.col("sketch_key").alias("k"))
     groups = s.groupBy("k").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"))
-    sets = sets.where(enough).select("sketch_key", "sketch")
+    sets = distinct_records(sets.where(enough), "sketch_key", "sketch").select(F.col("record_id").alias("sketch_key"), F.col("value").alias("sketch"))
 
     counted = sets.where(F.pmod("sketch_key", F.lit(COUNTED)) == 0).select(F.explode("sketch").alias("h")).groupBy("h").count().where("count > 1")
     top = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()  # at most FREQUENT rows
     h, n = top["h"].to_numpy(), top["count"].to_numpy()
     order = np.argsort(h)
+    # Both sides of the join reuse one shuffle by hash, of which adaptive execution may split a hot one.
     first = sets.mapInArrow(_prefixes(h[order], n[order], similarity), "k long, n int, h long")
-    first = first.dropDuplicates(["h", "k"])  # equal sets become one; both sides of the join below reuse the shuffle, and it may split a hot hash
     a, b = first.select("h", F.col("k").alias("ka"), F.col("n").alias("na")), first.select("h", F.col("k").alias("kb"), F.col("n").alias("nb"))
     least, most = F.least("na", "nb"), F.greatest("na", "nb")
     shared = a.join(b, "h").where((F.col("ka") < F.col("kb")) & (least >= most * similarity - 1e-6)).groupBy("ka", "kb", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
@@ -336,7 +337,7 @@ def copied_files(sketches: DataFrame, sets: DataFrame, *, min_words: int = MIN_W
     pairs = staged(shared.join(of_a, "ka").join(of_b, "kb").where("not (loa = hia and lob = hib and loa = lob)"), "copy-candidates")  # read four times below
 
     wanted = pairs.select(F.col("ka").alias("sketch_key")).union(pairs.select("kb")).distinct()
-    full = staged(sets.join(wanted, "sketch_key", "left_semi").dropDuplicates(["sketch_key"]), "candidate-sets")  # read twice below
+    full = staged(sets.join(wanted, "sketch_key", "left_semi"), "candidate-sets")  # read twice below
     both = F.size(F.array_intersect("sa", "sb"))
     alike = (
         pairs.join(full.select(F.col("sketch_key").alias("ka"), F.col("sketch").alias("sa")), "ka")
