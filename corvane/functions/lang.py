@@ -86,6 +86,16 @@ def family_py(lang: str | None) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), "other")
 
 
-def ascii_words(pattern: str) -> str:
-    """The pattern with word characters limited to ASCII, while white space stays Unicode."""
-    return re.sub(r"\[[^\]]*\]|\\w", lambda m: m[0].replace(r"\w", "A-Za-z0-9_") if m[0][0] == "[" else "[A-Za-z0-9_]", pattern)
+# The characters of white space in the patterns above, the byte-order mark among them.
+_SPACES = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def portable(pattern: str) -> str:
+    """The pattern for Python, which has other word characters, boundaries and white space: words are ASCII, spaces as above."""
+
+    def outside(m: re.Match) -> str:
+        return {"\\w": "[A-Za-z0-9_]", "\\s": f"[{_SPACES}]", "\\S": f"[^{_SPACES}]", "\\b": r"(?a:\b)"}.get(m[0]) or (
+            m[0].replace("\\w", "A-Za-z0-9_").replace("\\s", _SPACES) if m[0][0] == "[" else m[0]
+        )
+
+    return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\.", outside, pattern)

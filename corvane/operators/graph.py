@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.durable import staged
+from corvane.durable import Growing, staged
 from corvane.functions.paths import dirname, normalized
 
 # What a relative import may stand for, in order of precedence.
@@ -43,27 +43,37 @@ def neighbors(edges: DataFrame, starts: DataFrame, keys: list[str], depth: int =
     """(keys…, start, direction, path, hops, pos) within ``depth`` hops of each start, in either direction.
 
     ``direction`` is ``imports`` or ``imported_by``; ``pos`` is the order of discovery; starts are never their own
-    neighbours.  ``starts`` holds (keys…, start).
+    neighbours.  ``starts`` holds (keys…, start).  Each hop is one join of its frontier with the edges, staged, so the
+    plan of a hop doesn't grow with their number; the search ends when a frontier is empty, whatever the depth.
     """
-    edges = staged(edges, "edges") if depth > 1 else edges  # read in each hop
+    spark = edges.sparkSession
+    node = [*keys, "start", "direction"]
+    if depth > 1:
+        edges = staged(edges, "edges")  # read in each hop
     both = edges.select(*keys, F.lit("imports").alias("direction"), F.col("src").alias("_from"), F.col("dst").alias("path"), F.col("out_pos").alias("_pos")).unionByName(
         edges.select(*keys, F.lit("imported_by").alias("direction"), F.col("dst").alias("_from"), F.col("src").alias("path"), F.col("in_pos").alias("_pos"))
     )
-    node = [*keys, "start", "direction"]
-    begin = starts.select(*keys, "start").distinct()
-    seen = begin.withColumn("direction", F.explode(F.array(F.lit("imports"), F.lit("imported_by")))).select(
-        *node, F.col("start").alias("path"), F.lit(0).alias("hops"), F.array(F.lit(0)).alias("_key")
-    )
-    frontier = seen
+    begin = starts.select(*keys, "start").where("start is not null").distinct().withColumn("direction", F.explode(F.array(F.lit("imports"), F.lit("imported_by"))))
+    frontier = begin.select(*node, F.col("start").alias("path"), F.lit(0).alias("hops"), F.lit(0).alias("_at"))
+    seen = frontier
+    growing = Growing(spark, "seen") if depth > 1 else None
+    order = W.partitionBy(*node).orderBy("_key")
     for hop in range(1, depth + 1):
+        if growing is not None:
+            seen = growing.append(frontier)
+            frontier = seen.where(F.col("hops") == hop - 1)
+            if frontier.isEmpty():
+                break
         step = (
-            frontier.select(*node, F.col("path").alias("_from"), F.col("_key").alias("_parent"))
+            frontier.select(*node, F.col("path").alias("_from"), "_at")
             .join(both, [*keys, "direction", "_from"])
-            .select(*node, "path", F.concat("_parent", F.array(F.col("_pos").cast("int"))).alias("_key"))
             .groupBy(*node, "path")
-            .agg(F.min("_key").alias("_key"))
+            .agg(F.min(F.struct("_at", "_pos")).alias("_key"))
+            .join(seen.select(*node, "path"), [*node, "path"], "left_anti")
         )
-        frontier = step.join(seen.select(*node, "path"), [*node, "path"], "left_anti").withColumn("hops", F.lit(hop)).select(*seen.columns)
+        # Found in the order of the files that lead there, then of their imports.
+        frontier = step.select(*node, "path", F.lit(hop).alias("hops"), F.row_number().over(order).alias("_at"))
+    else:
         seen = seen.unionByName(frontier)
-    order = W.partitionBy(*node).orderBy("hops", "_key")
-    return seen.where("hops > 0").select(*node, "path", "hops", (F.row_number().over(order) - 1).alias("pos"))
+    place = W.partitionBy(*node).orderBy("hops", "_at")
+    return seen.where("hops > 0").select(*node, "path", "hops", (F.row_number().over(place) - 1).alias("pos"))

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.lang import IMPORT_RULES, ascii_words, family_py
+from corvane.functions.lang import IMPORT_RULES, portable, family_py
 
-_COMPILED = {f: [re.compile(ascii_words(p), re.M) for p in rules] for f, rules in IMPORT_RULES.items()}
+_COMPILED = {f: [re.compile(portable(p), re.M) for p in rules] for f, rules in IMPORT_RULES.items()}
 
 
 def imports_of(text: str, lang: str | None) -> list[str]:

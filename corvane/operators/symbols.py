@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.lang import SYMBOL_RULES, ascii_words, family_py
+from corvane.functions.lang import SYMBOL_RULES, portable, family_py
 
 # What a line must hold for any rule of its family to match; most lines don't.
 _HINT = {
@@ -18,19 +18,20 @@ _HINT = {
     "py": r"\b(?:def|class)\b",
     "other": r"\b(?:func|fn|def|function|class|interface|struct|enum|trait|module)\b",
 }
-_HINTS = {family: re.compile(p).search for family, p in _HINT.items()}
-_RULES = {family: [(kind, re.compile(ascii_words(p)).match) for kind, p in rules] for family, rules in SYMBOL_RULES.items()}
+_HINTS = {family: re.compile(portable(p)).search for family, p in _HINT.items()}
+_RULES = {family: [(kind, re.compile(portable(p)).match) for kind, p in rules] for family, rules in SYMBOL_RULES.items()}
 
 
-def symbols_of(text: str, lang: str | None) -> list[tuple[str, str, int, int]]:
+def symbols_of(text: str, lang: str | None, rows: list[str] | None = None) -> list[tuple[str, str, int, int]]:
     """(name, kind, line, end line) of the declarations of a text, a row for each name on each line.
 
     If several rules see the same name on a line, the first gives its kind.  A symbol ends on the line before the
-    next, the last one at the end of the text.
+    next, the last one at the end of the text.  ``rows`` are its lines, where the caller has them.
     """
     family = family_py(lang)
     hint, rules = _HINTS[family], _RULES[family]
-    rows = text.split("\n")
+    if rows is None:
+        rows = text.split("\n")
     found: list[tuple[str, str, int]] = []
     for n, row in enumerate(rows, 1):
         if hint(row):

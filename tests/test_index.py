@@ -16,7 +16,7 @@ from corvane.operators.graph import build_edges, neighbors
 from corvane.operators.imports import extract_imports, imports_of
 from corvane.operators.outline import outline_rows
 from corvane.operators.ranges import subtract_covered
-from corvane.operators.symbols import extract_symbols
+from corvane.operators.symbols import extract_symbols, symbols_of
 from corvane.plans.index import build_index
 from corvane.plans.pack import pack
 from corvane.plans.ranking import check_top, fixed, rank, rank_tasks
@@ -284,3 +284,31 @@ def test_store(spark, tmp_path, index, texts):
     (tmp_path / ".corvane/index/meta.json").write_text("{")
     with pytest.raises(ValueError, match="invalid JSON"):
         load_index(spark, tmp_path)
+
+
+def test_byte_order_marks_and_word_boundaries():
+    """White space holds the byte-order mark, words and their boundaries are ASCII."""
+    assert symbols_of("\ufefffunction foo(a) {\n}", "js") == [("foo", "function", 1, 2)]
+    assert symbols_of("\ufeffdef foo(a):\n\u00a0 def bar(b):", "py") == [("foo", "def", 1, 1), ("bar", "def", 2, 2)]
+    assert imports_of("\ufeffimport x from './a';\nérequire('b')\nxrequire('c')", "js") == ["./a", "b"]
+    assert symbols_of("\x1cfunction foo(a) {", "js") == []
+
+
+def test_neighbors_at_any_depth(spark):
+    """A chain of 60 files with a cycle ends when nothing new is found; the plan doesn't grow with the hops."""
+    edges = spark.createDataFrame([(f"f{i:02}", f"f{i + 1:02}", 0, 0) for i in range(59)] + [("f59", "f10", 0, 1)], "src string, dst string, out_pos int, in_pos int")
+    start = spark.createDataFrame([("f30",), (None,)], "start string")
+    out = neighbors(edges, start, [], 50)
+    rows = [(r.path, r.hops) for r in out.where("direction = 'imports'").orderBy("pos").collect()]
+    assert rows == [(f"f{i:02}", i - 30) for i in range(31, 60)] + [(f"f{i:02}", i + 20) for i in range(10, 30)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("\n") < 40
+
+
+def test_staged_tables_of_a_block_are_removed(spark, tmp_path):
+    from corvane.durable import staged, staging
+
+    with staging(spark):
+        df = staged(spark.range(3), "block")
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and __import__("os").path.exists(path)
+    assert not __import__("os").path.exists(path)
