@@ -16,12 +16,26 @@ def max_lines_of(value: float | None) -> int:
     return int(value) if isinstance(value, (int, float)) and math.isfinite(value) and value >= 1 else DEFAULT_MAX_LINES
 
 
+def ranges_of(n: int, symbols: list[tuple[str, int, int]], max_lines: float | None = DEFAULT_MAX_LINES) -> list[tuple[int, int, str | None]]:
+    """(start line, end line, symbol) of the chunks of one file of ``n`` lines, for (name, line, end line) in source order; as ``chunk_ranges``."""
+    size = max_lines_of(max_lines)
+    spans = sorted(((max(1, min(a, n)), max(1, min(b, n)), k, name) for k, (name, a, b) in enumerate(symbols)), key=lambda s: s[:3])
+    regions: list[tuple[int, int, str | None]] = []
+    cursor = 1
+    for a, b, _, name in spans:
+        if a <= b and cursor <= b:
+            regions += [(cursor, a - 1, None), (max(a, cursor), b, name)]
+            cursor = b + 1
+    regions.append((cursor, n, None))
+    return [(s, min(s + size - 1, b), name) for a, b, name in regions for s in range(a, b + 1, size)]
+
+
 def chunk_ranges(files: DataFrame, symbols: DataFrame, keys: list[str], max_lines: float | None = DEFAULT_MAX_LINES) -> DataFrame:
     """(keys…, chunk_index, start_line, end_line, symbol) that cover lines 1 to ``lines`` of each file without overlap.
 
-    ``files`` holds (keys…, lines), ``symbols`` (keys…, name, line, end_line).  Each symbol is clipped to the file and
-    to what earlier symbols leave; one wholly inside them vanishes; the rest of the file has null symbols.  Regions
-    are cut into windows of ``max_lines``.
+    ``files`` holds (keys…, lines), ``symbols`` (keys…, name, line, end_line[, ord]).  Each symbol is clipped to the file
+    and to what earlier symbols leave; one wholly inside them vanishes; the rest of the file has null symbols.  Of equal
+    ranges the first stands, by ``ord`` or else by name.  Regions are cut into windows of ``max_lines``.
     """
     size = max_lines_of(max_lines)
     sized = files.select(*keys, F.col("lines").cast("int").alias("_n")).where("_n >= 1")
@@ -30,13 +44,13 @@ def chunk_ranges(files: DataFrame, symbols: DataFrame, keys: list[str], max_line
         return F.greatest(F.lit(1), F.least(F.floor(c).cast("int"), F.col("_n")))
 
     spans = (
-        symbols.select(*keys, F.col("name").alias("_name"), F.col("line").alias("_l"), F.col("end_line").alias("_e"))
+        symbols.select(*keys, F.col("name").alias("_name"), F.col("ord" if "ord" in symbols.columns else "name").alias("_ord"), F.col("line").alias("_l"), F.col("end_line").alias("_e"))
         .where("_l is not null and _e is not null")
         .join(sized, keys)
-        .select(*keys, "_n", "_name", clip("_l").alias("_a"), clip("_e").alias("_b"))
+        .select(*keys, "_n", "_name", "_ord", clip("_l").alias("_a"), clip("_e").alias("_b"))
         .where("_a <= _b")
     )
-    before = W.partitionBy(*keys).orderBy("_a", "_b", "_name").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_a", "_b", "_ord").rowsBetween(W.unboundedPreceding, -1)
     cursor = F.coalesce(F.max("_b").over(before), F.lit(0)) + 1
     kept = spans.withColumn("_cursor", cursor).withColumn("_start", F.greatest("_a", "_cursor")).where("_start <= _b")
     inner = kept.select(
