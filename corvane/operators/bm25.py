@@ -74,12 +74,12 @@ def contribution(tf: Column, doc_len: Column, df: Column, n: Column, avgdl: Colu
 
 
 def bm25_scores(
-    terms: DataFrame, index: DataFrame, dfs: DataFrame, lengths: DataFrame, stats: DataFrame, keys: list[str], k1: float = K1, b: float = B
+    terms: DataFrame, index: DataFrame, dfs: DataFrame, lengths: DataFrame, stats: DataFrame, keys: list[str], k1: float = K1, b: float = B, carried: tuple[str, ...] = ()
 ) -> DataFrame:
     """(task_id, keys…, chunk_id, score) for all chunks that share a term of positive idf with a task.
 
     Contributions are added in the order in which terms occur in the task, so equal scores come out equal on any
-    partitioning.
+    partitioning.  ``carried`` columns of ``lengths`` come along.
     """
     by = [*keys, "term"]
     known = terms.join(dfs, by)
@@ -89,8 +89,8 @@ def bm25_scores(
         total = stats.first()
         known = known.withColumn("n", F.lit(total["n"])).withColumn("avgdl", F.lit(total["avgdl"]))
     known = known.where(idf(F.col("n"), F.col("df")) > 0)
-    hits = known.join(index, by).join(lengths.select("chunk_id", "doc_len"), "chunk_id", "left")
+    hits = known.join(index, by).join(lengths.select("chunk_id", "doc_len", *carried), "chunk_id", "left")
     part = contribution(F.col("tf"), F.coalesce("doc_len", F.lit(0)), F.col("df"), F.col("n"), F.col("avgdl"), F.col("q_count"), k1, b)
     # As many contributions a chunk as the task has terms.
     added = F.aggregate(F.array_sort(F.collect_list(F.struct("q_ord", part.alias("c")))), F.lit(0.0), lambda acc, x: acc + x["c"])
-    return hits.groupBy("task_id", *keys, "chunk_id").agg(added.alias("score"))
+    return hits.groupBy("task_id", *keys, "chunk_id").agg(added.alias("score"), *[F.max(c).alias(c) for c in carried])

@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.functions.textops import line_slice, token_estimate
+from corvane.durable import staged
+from corvane.functions.textops import token_estimate
 from corvane.operators.budget import check_budget, fit_to_budget
-from corvane.operators.ranges import subtract_covered
+from corvane.operators.ranges import sliced_texts, subtract_covered
 from corvane.plans.index import Index
 from corvane.plans.ranking import DEFAULT_TOP, rank_tasks
 
@@ -20,19 +22,62 @@ def pack_rows(ranked: DataFrame, texts: DataFrame, keys: list[str], budget: Colu
     Lines that a better chunk of the same task covers are left out of later ones; what remains is costed by its
     text and kept up to the first overflow of the budget.
     """
-    segments = subtract_covered(ranked, ["task_id", *keys, "path"])
-    read = segments.join(texts.select(*keys, "path", F.col("text").alias("_full")), [*keys, "path"], "left")
-    cost = read.withColumn("text", F.coalesce(line_slice(F.col("_full"), F.col("start_line"), F.col("end_line")), F.lit(""))).drop("_full")
-    costed = cost.withColumn("tokens", token_estimate(F.col("text")))
+    at = [*keys, "path"]
+    segments = staged(subtract_covered(ranked, ["task_id", *at]), "segments")  # read for the ranges to cut and for what they belong to
+    cut = sliced_texts(segments, texts, at)
+    read = segments.join(cut, [*at, "start_line", "end_line"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    costed = read.withColumn("tokens", token_estimate(F.col("text")))
     return fit_to_budget(costed, ["task_id"], ["rank", "start_line"], "tokens", budget)
 
 
 def trimmed_files(packed: DataFrame) -> DataFrame:
-    """(task_id, path, fully, pos): files that lost a segment, in the order of loss, and whether nothing of them is left."""
+    """(task_id, path, fully, pos): files that lost a segment, in the order of loss from 0, and whether nothing of them is left."""
     per = packed.groupBy("task_id", "path").agg(
         F.min(F.when(~F.col("included"), F.struct("rank", "start_line"))).alias("_first"), F.max(F.col("included").cast("int")).alias("_kept")
     )
-    return per.where("_first is not null").select("task_id", "path", (F.col("_kept") == 0).alias("fully"), F.col("_first.rank").alias("pos"))
+    pos = F.row_number().over(W.partitionBy("task_id").orderBy("_first")) - 1
+    return per.where("_first is not null").select("task_id", "path", (F.col("_kept") == 0).alias("fully"), pos.alias("pos"))
+
+
+def pack_texts(packed: DataFrame, tasks: DataFrame, files: DataFrame, keys: list[str], command: str = "corvane") -> DataFrame:
+    """(task_id, text): the bundle of each task as Markdown; as ``render`` for one.
+
+    ``packed`` holds costed segments, ``tasks`` (task_id, keys…, task, budget), ``files`` (keys…, path, lang).  Files come
+    in the order of their best included chunk, chunks in the order of lines.  A bundle is as long as its budget allows.
+    """
+    lang = packed.join(files.select(*keys, "path", "lang"), [*keys, "path"], "left")
+    fence = F.concat(
+        F.lit("```"), F.when(F.coalesce("lang", F.lit("")) == "", "text").otherwise(F.col("lang")), F.lit("\n// "), F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"),
+        F.col("end_line").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n```\n"),
+    )
+    kept = F.col("included")
+    per_file = lang.groupBy("task_id", "path").agg(
+        F.min(F.when(kept, F.struct("rank", "start_line"))).alias("_first"),
+        F.min(F.when(~kept, F.struct("rank", "start_line"))).alias("_lost"),
+        F.count(F.when(kept, 1)).alias("_n"),
+        F.coalesce(F.sum(F.when(kept, F.col("tokens"))), F.lit(0)).alias("_used"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("start_line", fence.alias("x"))))), lambda r: r["x"]), "").alias("_chunks"),
+    )
+    more = F.when(F.col("_lost").isNotNull(), F.concat(F.lit("_(more of "), F.col("path"), F.lit(f" omitted — budget exceeded; see `{command} outline "), F.col("path"), F.lit("`)_\n"))).otherwise("")
+    section = F.concat(F.lit("## "), F.col("path"), F.lit("\n\n"), F.col("_chunks"), more, F.lit("\n"))
+    gone = F.concat(F.lit("- "), F.col("path"), F.lit(f" — see `{command} outline "), F.col("path"), F.lit("`\n"))
+
+    def in_order(by: str, text: F.Column, when: F.Column) -> F.Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(F.col(by).alias("o"), text.alias("x"))))), lambda r: r["x"])
+
+    found = F.col("_n") > 0
+    per_task = per_file.groupBy("task_id").agg(
+        F.sum("_n").alias("_n"), F.count(F.when(found, 1)).alias("_files"), F.sum("_used").alias("_used"),
+        F.array_join(in_order("_first", section, found), "").alias("_sections"), in_order("_lost", gone, ~found).alias("_gone"),
+    )
+    all_tasks = tasks.select("task_id", "task", "budget").join(per_task, "task_id", "left").na.fill(0, ["_n", "_files", "_used"])
+    budget = F.col("budget").cast("string")
+    summary = F.when(F.col("_n") == 0, F.concat(F.lit("_no chunks fit within budget "), budget, F.lit("_"))).otherwise(
+        F.concat(F.lit("_"), F.col("_n").cast("string"), F.lit(" chunk(s) from "), F.col("_files").cast("string"), F.lit(" file(s), ~"), F.col("_used").cast("string"), F.lit(" tokens (budget "), budget, F.lit(")_"))
+    )
+    trimmed = F.when(F.size("_gone") > 0, F.concat(F.lit("## Trimmed (not included)\n\n"), F.array_join("_gone", ""))).otherwise("")
+    whole = F.concat(F.lit(f"# {command} pack: "), F.coalesce("task", F.lit("")), F.lit("\n\n"), summary, F.lit("\n\n"), F.coalesce("_sections", F.lit("")), F.coalesce(trimmed, F.lit("")))
+    return all_tasks.select("task_id", F.concat(F.regexp_replace(whole, r"\n+\z", ""), F.lit("\n")).alias("text"))
 
 
 @dataclass(frozen=True)

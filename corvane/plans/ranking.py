@@ -47,11 +47,39 @@ def _order() -> list[Column]:
     return [F.desc("score"), F.asc("path"), F.asc("start_line"), F.asc("chunk_id")]
 
 
-def score_chunks(index: Index, tasks: DataFrame) -> DataFrame:
-    """Scored chunks of (task_id, keys…, task) before the graph boost: bm25, matched symbols, score with their boost, and priority."""
+def text_scores(index: Index, tasks: DataFrame) -> DataFrame:
+    """(task_id, keys…, chunk_id, score, weight): BM25 of all chunks of each task that share a term with it, and their weight as source."""
     keys = index.keys
-    terms = bm25.query_terms(tasks, keys)
-    scored = bm25.bm25_scores(terms, index.postings, index.terms, index.chunks, index.corpus, keys)
+    weighed = index.chunks.select("chunk_id", "doc_len", source_priority(F.col("path")).alias("weight"))
+    return bm25.bm25_scores(bm25.query_terms(tasks, keys), index.postings, index.terms, weighed, index.corpus, keys, carried=("weight",))
+
+
+def in_reach(scores: DataFrame, tasks: DataFrame, limit: Column, most: int, include_tests: bool) -> DataFrame:
+    """The scores that boosts may still lift among the seeds or the best ``limit`` of their task; none that may is left out.
+
+    Boosts add at most ``SYMBOL_CAP`` and ``GRAPH_BOOST``.  A chunk further below the last of the best by text alone can't
+    reach them, so only ids and scores are compared before anything is joined to them.
+    """
+    weight = F.lit(1.0) if include_tests else F.col("weight")
+
+    def floor(value: Column, n: Column, bound: int, name: str) -> DataFrame:
+        order = W.partitionBy("task_id").orderBy(F.desc("_v"))
+        best = scores.select("task_id", value.alias("_v")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.lit(bound))
+        return best.join(tasks.select("task_id", n.alias("_limit")), "task_id").where("_n = _limit").select("task_id", F.col("_v").alias(name))
+
+    floors = floor(F.col("score"), F.lit(SEEDS), SEEDS, "_seeds").join(floor(F.col("score") * weight, limit.cast("int"), most, "_best"), "task_id", "full")
+    seed = F.col("_seeds").isNull() | (F.col("score") + SYMBOL_CAP >= F.col("_seeds"))
+    best = F.col("_best").isNull() | ((F.col("score") + SYMBOL_CAP + GRAPH_BOOST) * weight * (1 + 1e-9) >= F.col("_best"))
+    return scores.join(floors, "task_id", "left").where(seed | best).drop("_seeds", "_best", "weight")
+
+
+def score_chunks(index: Index, tasks: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """Scored chunks of (task_id, keys…, task) before the graph boost: bm25, matched symbols, score with their boost, and priority.
+
+    ``scored`` may give the text scores of the chunks that matter; else it is all of them.
+    """
+    if scored is None:
+        scored = text_scores(index, tasks).drop("weight")
     listed = tasks.select("task_id", bm25.tokenize_col(F.col("task")).alias("_q"))
     full = scored.join(chunk_facts(index.chunks), "chunk_id").join(listed, "task_id")
     matched = full.withColumnRenamed("score", "bm25").withColumn("matched", symbol_matches(F.col("_q"), F.col("_pieces"))).drop("_q", "_pieces")
@@ -86,15 +114,16 @@ def rank_tasks(index: Index, tasks: DataFrame, *, top: Column | int = DEFAULT_TO
     """
     keys = index.keys
     limit = top if isinstance(top, Column) else F.lit(check_top(top))
-    scored = staged(score_chunks(index, tasks), "scored")  # read for the seeds and for the ranks
+    # A literal bound lets each partition keep only so many rows of a task before they are shuffled.
+    most = tasks.agg(F.max(limit)).first()[0] or 0 if isinstance(top, Column) else check_top(top)
+    texts = staged(text_scores(index, tasks), "text-scores")  # ids and scores only, read three times
+    scored = staged(score_chunks(index, tasks, in_reach(texts, tasks, limit, int(most), include_tests)), "scored")  # read for the seeds and for the ranks
     near = graph_sources(scored, index.edges, keys)
     boosted = scored.join(near, ["task_id", "path"], "left").withColumn(
         "score", F.when(F.col("graph_source").isNotNull(), F.col("score") + GRAPH_BOOST).otherwise(F.col("score"))
     )
     weighed = boosted.withColumn("priority", F.lit(1.0)) if include_tests else boosted
     final = weighed.withColumn("score", F.when(F.col("priority") != 1.0, F.col("score") * F.col("priority")).otherwise(F.col("score")))
-    # A literal bound lets each partition keep only so many rows of a task before they are shuffled.
-    most = tasks.agg(F.max(limit)).first()[0] or 0 if isinstance(top, Column) else check_top(top)
     ranked = final.withColumn("rank", F.row_number().over(W.partitionBy("task_id").orderBy(*_order()))).where(F.col("rank") <= F.lit(int(most)))
     if isinstance(top, Column):
         ranked = ranked.join(tasks.select("task_id", limit.cast("int").alias("_top")), "task_id").where("rank <= _top")
@@ -103,6 +132,18 @@ def rank_tasks(index: Index, tasks: DataFrame, *, top: Column | int = DEFAULT_TO
     )
 
 
+def reasons_col() -> Column:
+    """Why each row of ``rank_tasks`` ranks where it does, in the order of the steps; as ``reasons_of`` for one."""
+    base = F.element_at(F.split("graph_source", "/"), -1)
+    demoted = F.concat(F.lit("demoted:"), F.format_string("%s", F.col("priority")))
+    return F.concat(
+        F.array(F.concat(F.lit("bm25:"), F.format_string("%.1f", F.col("bm25")))),
+        F.transform("matched", lambda m: F.concat(F.lit("symbol:"), m)),
+        F.when(F.col("graph_source").isNotNull(), F.array(F.concat(F.lit("graph:"), base))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("priority") != 1.0, F.array(demoted)).otherwise(F.array().cast("array<string>")),
+    )
+
+
 class Result(NamedTuple):
     """One ranked location."""
 
@@ -142,4 +183,4 @@ def rank(index: Index, task: str, *, top: int = DEFAULT_TOP, include_tests: bool
     return [Result(r["path"], r["start_line"], r["end_line"], r["symbol"], r["score"], reasons_of(r)) for r in rows]
 
 
-__all__ = ["Result", "basename", "check_top", "graph_sources", "rank", "rank_tasks", "reasons_of", "score_chunks", "symbol_matches"]
+__all__ = ["Result", "basename", "check_top", "graph_sources", "rank", "rank_tasks", "reasons_col", "reasons_of", "score_chunks", "symbol_matches"]

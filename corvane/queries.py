@@ -19,7 +19,7 @@ from corvane.operators.chunking import chunk_ranges
 from corvane.operators.graph import build_edges, neighbors, resolve_imports
 from corvane.operators.imports import extract_imports
 from corvane.operators.outline import lang_stats, outline_rows
-from corvane.operators.ranges import subtract_covered
+from corvane.operators.ranges import sliced_texts, subtract_covered
 from corvane.operators.symbols import extract_symbols
 from corvane.parallel import spread
 from corvane.plans import pack as packing
@@ -140,8 +140,8 @@ def line_counts(spark: SparkSession, d: str) -> DataFrame:
 def line_slice(spark: SparkSession, d: str) -> DataFrame:
     """The lines of each candidate, read from its file; as a hash."""
     c = table(spark, d, "candidate").select("cand_id", "file_id", "start_line", "end_line").distinct()
-    both = c.join(table(spark, d, "file_text"), "file_id")
-    return both.select("cand_id", X.content_hash(X.line_slice(F.col("content"), F.col("start_line"), F.col("end_line"))).alias("hash"))
+    cut = sliced_texts(c, table(spark, d, "file_text").select("file_id", F.col("content").alias("text")), ["file_id"])
+    return c.join(cut, ["file_id", "start_line", "end_line"]).select("cand_id", X.content_hash(F.col("text")).alias("hash"))
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
