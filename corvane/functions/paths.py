@@ -68,6 +68,11 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return path.rlike(ignore_regex(patterns))
 
 
+def to_posix(path: Column) -> Column:
+    """A relative path with forward slashes and without ``./`` in front."""
+    return F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", "")
+
+
 def dirname(path: Column) -> Column:
     """Directory of a path, ``.`` at the root."""
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))

@@ -90,6 +90,11 @@ def line_slice(text: Column, start: Column, end: Column) -> Column:
     )
 
 
+def numbered_lines(text: Column, start: Column) -> Column:
+    """Lines of ``text`` with their numbers, the first being ``start``."""
+    return F.array_join(F.transform(lines(text), lambda row, i: F.concat((i + start).cast("string"), F.lit(": "), row)), "\n")
+
+
 def content_hash(text: Column) -> Column:
     return F.substring(F.sha1(text), 1, 12)
 

@@ -59,12 +59,18 @@ def outline_repo(index: Index, directory: str | None = None) -> str:
     return "\n".join(r["line"] for r in rows)
 
 
+def file_outlines(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, path, ord, line): a line for each symbol of a file, in order."""
+    span = F.concat(F.lit("  (L"), F.col("line").cast("string"), F.lit("-L"), F.col("end_line").cast("string"), F.lit(")"))
+    return symbols.select(*keys, "path", "ord", F.concat(F.lit("  "), F.col("kind"), F.lit(" "), F.col("name"), span).alias("line"))
+
+
 def outline_file(index: Index, path: str) -> str | None:
     """A file and its symbols with their lines, or None if it isn't indexed."""
     if not index.files.where(F.col("path") == path).limit(1).count():
         return None
-    rows = index.symbols.where(F.col("path") == path).orderBy("ord").collect()
-    return "\n".join([path, *(f"  {r['kind']} {r['name']}  (L{r['line']}-L{r['end_line']})" for r in rows)])
+    rows = file_outlines(index.symbols.where(F.col("path") == path), []).orderBy("ord").collect()
+    return "\n".join([path, *(r["line"] for r in rows)])
 
 
 def lang_stats(files: DataFrame, keys: list[str]) -> DataFrame:

@@ -122,7 +122,7 @@ def build_index(
         position = F.row_number().over(W.partitionBy(*keys).orderBy("path")) - 1
         files = base.withColumn("file_index", position)
     else:  # one corpus: number the paths by range partition, not in one window
-        files = _numbered(base, "path", "file_index")
+        files = numbered(base, "path", "file_index")
     files = keep(files, "files")
     name = F.concat_ws(":", *keys, "file_index", "chunk_index") if keys else F.concat_ws(":", "file_index", "chunk_index")
     chunks = analysed.select(*keys, "path", F.inline("chunks")).join(files.select(*keys, "path", "file_index"), [*keys, "path"]).withColumn("chunk_id", name)
@@ -142,7 +142,7 @@ def build_index(
     )
 
 
-def _numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """``df`` with its rank in ``order`` from 0: ranks within the ranges of a sort, shifted by the sizes of the ranges before."""
     ranged = staged(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranged")  # read twice, with one set of bounds
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

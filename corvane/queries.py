@@ -12,26 +12,26 @@ from pyspark.sql import functions as F
 from corvane.durable import staged
 from corvane.functions import textops as X
 from corvane.functions.lang import detect_lang
-from corvane.functions.paths import basename, dirname, ignored, normalized, source_priority
+from corvane.functions.paths import basename, dirname, ignored, normalized, parse_ignore, source_priority, to_posix
 from corvane.operators import bm25
 from corvane.operators.budget import fit_to_budget
 from corvane.operators.chunking import chunk_ranges
 from corvane.operators.graph import build_edges, neighbors, resolve_imports
 from corvane.operators.imports import extract_imports
-from corvane.operators.outline import lang_stats, outline_rows
+from corvane.operators.outline import file_outlines, lang_stats, outline_rows
 from corvane.operators.ranges import sliced_texts, subtract_covered
 from corvane.operators.symbols import extract_symbols
 from corvane.parallel import spread
 from corvane.plans import pack as packing
 from corvane.plans import ranking
-from corvane.plans.index import Index, build_index
+from corvane.plans.index import Index, build_index, numbered
 from corvane.queries_sql import SQL  # noqa: F401
 from corvane.sources.scan import BINARY_EXTENSIONS, scan_tree
 from corvane.streaming.refresh import changed_files
 from corvane.tables import table
 
 REPO = ["repo"]
-PATTERNS = ["docs/", "*.test.js", "/tools/**", "lib/**/item", "src/*.md", "gen?"]
+IGNORE = "# generated\n\ndocs/\r\n*.test.js\n!src/keep.test.js\n  /tools/**  \nlib/**/item\nsrc/*.md\ngen?\n"
 MAX_SIZE = 8000
 
 
@@ -128,9 +128,9 @@ def raw_token_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identifier_split(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of each distinct symbol name, sorted."""
+    """Pieces of each distinct symbol name, in order."""
     names = table(spark, d, "files").select(F.explode("symbols.name").alias("name")).where("name is not null").distinct()
-    return names.select("name", F.array_join(F.array_sort(X.identifier_parts(F.col("name"))), " ").alias("parts"))
+    return names.select("name", F.array_join(X.identifier_parts(F.col("name")), " ").alias("parts"))
 
 
 def line_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -152,6 +152,12 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "candidate").where("code is not null").select("cand_id", X.token_estimate(F.col("code")).alias("tokens"))
 
 
+def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each candidate with their numbers; as a hash."""
+    c = table(spark, d, "candidate").where("code is not null and start_line is not null").select("cand_id", "start_line", "code").distinct()
+    return c.select("cand_id", X.content_hash(X.numbered_lines(F.col("code"), F.col("start_line"))).alias("hash"))
+
+
 # Filters -------------------------------------------------------------------------------------------------------------
 
 
@@ -165,7 +171,7 @@ def source_priorities(spark: SparkSession, d: str) -> DataFrame:
 
 def ignore_filter(spark: SparkSession, d: str) -> DataFrame:
     """Files that an ignore list leaves."""
-    return table(spark, d, "files").where(~ignored(F.col("path"), PATTERNS)).select("file_id")
+    return table(spark, d, "files").where(~ignored(F.col("path"), parse_ignore(IGNORE))).select("file_id")
 
 
 def binary_size_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +185,18 @@ def subtree_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files").where((F.col("path") == "src") | F.col("path").startswith("src/")).select("file_id")
 
 
+def posix_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths written with backslashes and a dot in front, as the tools take them."""
+    written = F.concat(F.lit(".\\"), F.translate("path", "/", "\\"))
+    return table(spark, d, "files").select("file_id", to_posix(written).alias("path"))
+
+
+def file_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of all paths in order, as one corpus."""
+    paths = table(spark, d, "files").where("path is not null").select("path").distinct()
+    return numbered(paths, "path", "file_index")
+
+
 # Symbols, imports and chunks -----------------------------------------------------------------------------------------
 
 
@@ -256,6 +274,10 @@ def neighbors_depth2(spark: SparkSession, d: str) -> DataFrame:
     return _around(spark, d, 2)
 
 
+def neighbors_depth5(spark: SparkSession, d: str) -> DataFrame:
+    return _around(spark, d, 5)
+
+
 # Scores and ranks ----------------------------------------------------------------------------------------------------
 
 
@@ -309,6 +331,12 @@ def rank_with_tests(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("task_id", "rank", "chunk_id", _score())
 
 
+def rank_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Why each of the best chunks ranks where it does."""
+    ranked = ranking.rank_tasks(_index(spark, d), _tasks(spark, d), top=F.col("top_n"))
+    return ranked.select("task_id", "rank", F.array_join(ranking.reasons_col(), " ").alias("reasons"))
+
+
 # Packs ---------------------------------------------------------------------------------------------------------------
 
 
@@ -343,7 +371,13 @@ def pack_included(spark: SparkSession, d: str) -> DataFrame:
 
 def pack_trimmed(spark: SparkSession, d: str) -> DataFrame:
     """Files that the pack of each task lost in whole or in part."""
-    return packing.trimmed_files(_packed(spark, d)).select("task_id", "path", "fully")
+    return packing.trimmed_files(_packed(spark, d)).select("task_id", "path", "fully", "pos")
+
+
+def pack_text(spark: SparkSession, d: str) -> DataFrame:
+    """The pack of each task as Markdown."""
+    files = _newest(spark, d).withColumn("lang", detect_lang(F.col("path")))
+    return packing.pack_texts(_packed(spark, d), table(spark, d, "task_run").select("task_id", "repo", "task", "budget"), files, REPO)
 
 
 # Outlines ------------------------------------------------------------------------------------------------------------
@@ -362,6 +396,12 @@ def lang_statistics(spark: SparkSession, d: str) -> DataFrame:
     return lang_stats(_newest(spark, d).withColumn("lang", detect_lang(F.col("path"))), REPO)
 
 
+def outline_files(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols of each file as its outline shows them."""
+    symbols = _newest(spark, d, "symbols").select("repo", "path", F.posexplode("symbols").alias("ord", "_s")).select("repo", "path", "ord", "_s.*")
+    return file_outlines(symbols, REPO)
+
+
 # Sources and refresh -------------------------------------------------------------------------------------------------
 
 
@@ -380,8 +420,8 @@ def rescans(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     tokenize_tf, token_doc_len, corpus_stats, term_df_top, raw_token_lengths, identifier_split, line_counts, line_slice, content_hash, token_estimate, lang_detect,
-    source_priorities, ignore_filter, binary_size_filter, subtree_files, symbol_extract, import_extract, chunk_windows_60, chunk_windows_4, chunk_with_symbols, index_chunks,
-    index_summary, path_normalize, import_resolve, graph_edges, neighbors_depth1, neighbors_depth2, postings_lookup, bm25_score, bm25_params, bm25_dup_terms, symbol_boost,
-    graph_boost, rank_full, rank_with_tests, fit_budget, range_subtract, pack_included, pack_trimmed, outline_tree, lang_statistics, tree_scan, rescans,
+    numbered_lines, posix_paths, file_numbers, source_priorities, ignore_filter, binary_size_filter, subtree_files, symbol_extract, import_extract, chunk_windows_60, chunk_windows_4, chunk_with_symbols, index_chunks,
+    index_summary, path_normalize, import_resolve, graph_edges, neighbors_depth1, neighbors_depth2, neighbors_depth5, postings_lookup, bm25_score, bm25_params, bm25_dup_terms, symbol_boost,
+    graph_boost, rank_full, rank_with_tests, rank_reasons, fit_budget, range_subtract, pack_included, pack_trimmed, pack_text, outline_tree, outline_files, lang_statistics, tree_scan, rescans,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

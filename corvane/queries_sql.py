@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 
-from corvane.functions.lang import EXTENSIONS, FAMILIES, SYMBOL_RULES
+from corvane.functions.lang import EXTENSIONS, FAMILIES, IMPORT_RULES, SYMBOL_RULES
 from corvane.functions.paths import NON_SOURCE_DIR, NON_SOURCE_SUFFIX, NON_SOURCE_WORD
 from corvane.operators.graph import CANDIDATE_SUFFIXES
 
@@ -146,8 +147,8 @@ bm AS (SELECT task_id, bm0.repo, id AS chunk_id, path, start_line, end_line, sym
 
 _BOOSTED = f"""{_scores()},
 names AS (SELECT symbol, list_distinct({_pieces("symbol")}) AS parts FROM (SELECT DISTINCT symbol FROM bm WHERE symbol IS NOT NULL AND symbol != '')),
-tq AS (SELECT task_id, list(term) AS terms FROM t2 GROUP BY task_id),
-sb AS (SELECT bm.*, score AS bm25, coalesce(len(list_filter(terms, lambda t: list_contains(parts, t))), 0)::INT AS matches FROM bm JOIN tq USING (task_id) LEFT JOIN names USING (symbol)),
+tq AS (SELECT task_id, list(term ORDER BY o) AS terms FROM t2 GROUP BY task_id),
+sb AS (SELECT bm.*, score AS bm25, coalesce(list_filter(terms, lambda t: list_contains(parts, t)), []) AS matched, coalesce(len(list_filter(terms, lambda t: list_contains(parts, t))), 0)::INT AS matches FROM bm JOIN tq USING (task_id) LEFT JOIN names USING (symbol)),
 boosted AS (SELECT * EXCLUDE (score), bm25 + CASE WHEN matches > 0 THEN least(1.5::DOUBLE * matches, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS score FROM sb)"""
 _GRAPH = f"""{_BOOSTED},
 {_EDGES.strip()},
@@ -168,6 +169,10 @@ ranked AS (SELECT final.*, row_number() OVER (PARTITION BY task_id ORDER BY scor
 best AS (SELECT * FROM ranked WHERE rank <= top_n)"""
 
 
+_REASONS = """array_to_string(list_concat(['bm25:' || printf('%.1f', bm25)], list_transform(matched, lambda t: 'symbol:' || t),
+    CASE WHEN graph_source IS NOT NULL THEN ['graph:' || split_part(graph_source, '/', -1)] ELSE [] END, CASE WHEN priority != 1.0 THEN ['demoted:0.2'] ELSE [] END), ' ')"""
+
+
 def _segments(source: str, rank: str) -> str:
     """CTEs that end in segments (task_id, path, rank, start_line, end_line)."""
     return f"""
@@ -184,6 +189,34 @@ cost AS (SELECT s.*, budget, coalesce(array_to_string(list_slice(string_split(co
 costed AS (SELECT *, {_tokens("text")} AS tokens FROM cost),
 fitted AS (SELECT *, sum(tokens) OVER (PARTITION BY task_id ORDER BY rank, start_line ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM costed)"""
 
+_FENCE = """'```' || coalesce(nullif({lang}, ''), 'text') || E'\\n// ' || path || ':' || start_line || '-' || end_line || E'\\n' || text || E'\\n```\\n'"""
+_PACK_TEXT = f"""{_PACKED},
+shown AS (SELECT *, used <= budget AS inc, {_FENCE.format(lang=_lang())} AS x FROM fitted),
+per_file AS (SELECT task_id, path, min(rank) FILTER (inc) AS first, min(rank) FILTER (NOT inc) AS lost, count(*) FILTER (inc) AS n, coalesce(sum(tokens) FILTER (inc), 0) AS used,
+    coalesce(string_agg(x, '' ORDER BY start_line) FILTER (inc), '') AS chunks FROM shown GROUP BY task_id, path),
+named AS (SELECT *, '## ' || path || E'\\n\\n' || chunks || CASE WHEN lost IS NOT NULL THEN '_(more of ' || path || ' omitted — budget exceeded; see `corvane outline ' || path || E'`)_\\n' ELSE '' END || E'\\n' AS section FROM per_file),
+per_task AS (SELECT task_id, sum(n) AS n, count(*) FILTER (n > 0) AS files, sum(used) AS used, string_agg(section, '' ORDER BY first) FILTER (n > 0) AS sections,
+    string_agg('- ' || path || ' — see `corvane outline ' || path || E'`\\n', '' ORDER BY lost) FILTER (n = 0) AS gone FROM named GROUP BY task_id)
+SELECT r.task_id, rtrim('# corvane pack: ' || coalesce(task, '') || E'\\n\\n' ||
+    CASE WHEN coalesce(n, 0) = 0 THEN '_no chunks fit within budget ' || budget || '_' ELSE '_' || n || ' chunk(s) from ' || files || ' file(s), ~' || used || ' tokens (budget ' || budget || ')_' END
+    || E'\\n\\n' || coalesce(sections, '') || CASE WHEN gone IS NOT NULL THEN E'## Trimmed (not included)\\n\\n' || gone ELSE '' END, E'\\n') || E'\\n' AS text
+FROM task_run r LEFT JOIN per_task USING (task_id)"""
+
+# Imports: the rules of a family in one alternation give the matches in order; of rules that see one place, the longest first.
+_ORDER = {"other": [0, 1, 3, 2, 4, 5, 6]}
+
+
+def _import_lists() -> str:
+    cases = []
+    for family, rules in IMPORT_RULES.items():
+        rules = [rules[i] for i in _ORDER.get(family, range(len(rules)))]
+        either = "(?m)" + "|".join(r.replace("(?:", "\0").replace("([", "(?:[").replace("\0", "(?:") for r in rules)
+        each = ", ".join(f"nullif(regexp_extract(m, {_q('(?m)' + r)}, 1), '')" for r in rules)
+        when = f"lang IN ({', '.join(map(_q, FAMILIES[family]))})" if family in FAMILIES else "true"
+        cases.append(f"WHEN {when} THEN list_transform(regexp_extract_all(content, {_q(either)}), lambda m: coalesce({each}))")
+    return f"CASE {' '.join(cases)} END"
+
+
 _RESULTS = "results AS (SELECT DISTINCT task_id, pos, cand_id, file AS path, start_line, end_line FROM rank_result)"
 _INDEX = f"""
 {_NEWEST.strip()},
@@ -204,7 +237,7 @@ SQL: dict[str, str] = {
     "corpus_stats": f"WITH {_DOCS}, {_tf('docs')}, l AS (SELECT d.id, coalesce(sum(tf), 0) AS n FROM docs d LEFT JOIN tf USING (id) GROUP BY ALL) SELECT count(*) AS n, round(avg(n), 6) AS avgdl FROM l",
     "term_df_top": f"WITH {_DOCS}, {_tf('docs')} SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY df DESC, term LIMIT 100",
     "raw_token_lengths": "SELECT length(w)::INT AS length, count(*) AS words FROM (SELECT unnest(regexp_extract_all(code, '[A-Za-z0-9]+')) AS w FROM candidate) GROUP BY ALL",
-    "identifier_split": f"WITH n AS (SELECT DISTINCT unnest(symbols).name AS name FROM files) SELECT name, array_to_string(list_sort(list_distinct({_pieces('name')})), ' ') AS parts FROM n WHERE name IS NOT NULL",
+    "identifier_split": f"WITH n AS (SELECT DISTINCT unnest(symbols).name AS name FROM files) SELECT name, array_to_string(list_filter({_pieces('name')}, lambda x, i: list_position({_pieces('name')}, x) = i), ' ') AS parts FROM n WHERE name IS NOT NULL",
     "line_counts": "SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines FROM documents WHERE text IS NOT NULL",
     "line_slice": """WITH c AS (SELECT DISTINCT cand_id, file_id, start_line, end_line FROM candidate)
         SELECT cand_id, substr(sha1(array_to_string(list_slice(string_split(content, chr(10)), start_line, end_line), chr(10))), 1, 12) AS hash FROM c JOIN file_text USING (file_id)""",
@@ -218,6 +251,15 @@ SQL: dict[str, str] = {
     "binary_size_filter": "SELECT file_id FROM files WHERE size <= 8000",
     "subtree_files": "SELECT file_id FROM files WHERE path = 'src' OR starts_with(path, 'src/')",
     "symbol_extract": f"WITH {_LINES}, {_symbols('lines')} SELECT file_id, name, kind, line, end_line FROM symbols_of",
+    "import_extract": f"""WITH t AS (SELECT file_id, {_lang()} AS lang, content FROM files JOIN file_text USING (file_id) WHERE content IS NOT NULL), l AS (SELECT file_id, {_import_lists()} AS l FROM t)
+        SELECT file_id, (generate_subscripts(l, 1) - 1)::INT AS ord, unnest(l) AS specifier FROM l""",
+    "numbered_lines": """WITH c AS (SELECT DISTINCT cand_id, start_line, code FROM candidate WHERE code IS NOT NULL AND start_line IS NOT NULL)
+        SELECT cand_id, substr(sha1(array_to_string(list_transform(string_split(code, chr(10)), lambda r, i: (start_line + i - 1) || ': ' || r), chr(10))), 1, 12) AS hash FROM c""",
+    "posix_paths": "SELECT file_id, path FROM files",
+    "file_numbers": "SELECT path, (row_number() OVER (ORDER BY path) - 1)::INT AS file_index FROM (SELECT DISTINCT path FROM files WHERE path IS NOT NULL)",
+    "outline_files": f"""WITH {_NEWEST}, s AS (SELECT repo, path, unnest(symbols) AS s, (generate_subscripts(symbols, 1) - 1)::INT AS ord FROM newest)
+        SELECT repo, path, ord, '  ' || s.kind || ' ' || s.name || '  (L' || s.line || '-L' || s.end_line || ')' AS line FROM s""",
+    "tree_scan": f"SELECT substr(filename, {len(os.path.dirname(os.path.abspath(__file__))) + 2}) AS path, size::BIGINT AS size FROM read_blob({_q(os.path.dirname(os.path.abspath(__file__)) + '/**/*.py')})",
     "chunk_windows_60": "WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, n, unnest(range(1, n + 1, 60)) AS s FROM l) "
     "SELECT doc_id, ((s - 1) // 60)::INT AS chunk_index, s::INT AS start_line, least(s + 59, n)::INT AS end_line FROM w",
     "chunk_windows_4": "WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, n, unnest(range(1, n + 1, 4)) AS s FROM l) "
@@ -231,6 +273,11 @@ SQL: dict[str, str] = {
     "graph_edges": f"WITH {_EDGES} SELECT repo, src, dst, out_pos, in_pos FROM edges",
     "neighbors_depth1": f"WITH {_AROUND} SELECT repo, start, direction, path, 1 AS hops FROM one",
     "neighbors_depth2": f"WITH {_AROUND} SELECT repo, start, direction, path, 1 AS hops FROM one UNION ALL SELECT repo, start, direction, path, 2 FROM two",
+    "neighbors_depth5": f"""WITH RECURSIVE {_AROUND}, around AS (SELECT repo, start, direction, path, 1 AS hops FROM one WHERE path != start
+        UNION SELECT a.repo, start, a.direction, l.t, hops + 1 FROM around a JOIN links l ON l.repo = a.repo AND l.direction = a.direction AND l.f = a.path WHERE hops < 5 AND l.t != start)
+        SELECT repo, start, direction, path, min(hops)::INT AS hops FROM around GROUP BY ALL""",
+    "rank_reasons": f"WITH {_ranked(False)} SELECT task_id, rank, {_REASONS} AS reasons FROM best",
+    "pack_text": f"WITH {_PACK_TEXT}",
     "postings_lookup": f"WITH {_scores()} SELECT task_id, term, q_count, df FROM q JOIN df USING (repo, term)",
     "bm25_score": f"WITH {_scores()} SELECT task_id, chunk_id, round(score, 6) AS score FROM bm",
     "bm25_params": f"WITH {_scores(1.2, 0.5)} SELECT task_id, chunk_id, round(score, 6) AS score FROM bm",
@@ -245,7 +292,8 @@ SQL: dict[str, str] = {
     "range_subtract": f"""WITH {_RESULTS}, wide AS (SELECT task_id, path, pos, greatest(1, start_line - 10) AS start_line, end_line + 10 AS end_line FROM results),
         {_segments("wide", "pos")} SELECT task_id, path, rank AS pos, start_line, end_line FROM segments""",
     "pack_included": f"WITH {_PACKED} SELECT task_id, rank, path, start_line, end_line, tokens, used FROM fitted WHERE used <= budget",
-    "pack_trimmed": f"WITH {_PACKED} SELECT task_id, path, NOT bool_or(used <= budget) AS fully FROM fitted GROUP BY task_id, path HAVING bool_or(used > budget)",
+    "pack_trimmed": f"""WITH {_PACKED}, l AS (SELECT task_id, path, NOT bool_or(used <= budget) AS fully, min((rank, start_line)) FILTER (used > budget) AS k FROM fitted GROUP BY task_id, path HAVING bool_or(used > budget))
+        SELECT task_id, path, fully, (row_number() OVER (PARTITION BY task_id ORDER BY k) - 1)::INT AS pos FROM l""",
     "outline_tree": f"""WITH {_NEWEST}, p AS (SELECT repo, path, string_split(path, '/') AS parts, symbols FROM newest),
         t AS (
             SELECT repo, list_concat(list_transform(list_slice(parts, 1, len(parts) - 1), lambda x: '0' || x), ['1' || parts[-1]]) AS k, (len(parts) - 1)::INT AS depth,
