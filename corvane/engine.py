@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import Config, load_config
-from corvane.durable import staged
+from corvane.durable import staged, staging
 from corvane.operators import outline
 from corvane.operators.graph import neighbors as graph_neighbors
 from corvane.plans import pack as packing
@@ -46,31 +46,35 @@ class Engine:
         self.config: Config = load_config(self.root)
         self._index: Index | None = None
         self._texts: DataFrame | None = None
-        self._stamp: int | None = None
+        self._stamp: str | None = None
 
     def build(self, *, save: bool = True) -> Index:
         """Scan and index the tree; unless ``save`` is off, persist the index and use the persisted tables."""
-        texts = staged(scan_tree(self.spark, self.root, self.config.max_file_size), "texts")
-        index = build_index(texts, max_lines=self.config.chunk_max_lines, keep=staged)
         if save:
-            save_index(self.root, index, texts)
+            with staging(self.spark):
+                texts, index = self._built()
+                save_index(self.root, index, texts)
             self._stamp = None
             return self.index
-        self._index, self._texts = index, texts
-        return index
+        self._texts, self._index = self._built()
+        return self._index
+
+    def _built(self) -> tuple[DataFrame, Index]:
+        texts = staged(scan_tree(self.spark, self.root, self.config.max_file_size), "texts")
+        return texts, build_index(texts, max_lines=self.config.chunk_max_lines, keep=staged)
 
     def build_if_missing(self) -> Index:
-        return self.index if self._index is not None or load_meta(self.root) is not None else self.build()
+        return self.index if self._index is not None or load_meta(self.root, self.spark) is not None else self.build()
 
     @property
     def index(self) -> Index:
-        meta = load_meta(self.root)
+        meta = load_meta(self.root, self.spark)
         if meta is None:
             if self._index is None:
                 raise NoIndex("No index found for this tree. Run `corvane index` first to build one.")
             return self._index
-        if meta["createdAt"] != self._stamp:
-            self._index, self._texts, self._stamp = load_index(self.spark, self.root), load_texts(self.spark, self.root), meta["createdAt"]
+        if meta["folder"] != self._stamp:
+            self._index, self._texts, self._stamp = load_index(self.spark, self.root), load_texts(self.spark, self.root), meta["folder"]
         return self._index
 
     @property
@@ -79,11 +83,13 @@ class Engine:
         return self._texts
 
     def query(self, task: str, *, top: int | None = None, include_tests: bool = False) -> list[ranking.Result]:
-        return ranking.rank(self.index, task, top=ranking.DEFAULT_TOP if top is None else top, include_tests=include_tests)
+        with staging(self.spark):
+            return ranking.rank(self.index, task, top=ranking.DEFAULT_TOP if top is None else top, include_tests=include_tests)
 
     def pack(self, task: str, *, budget: float | None = None, top: int | None = None, include_tests: bool = False) -> packing.Bundle:
         limit = self.config.budget if budget is None else budget
-        return packing.pack(self.index, self.texts, task, budget=limit, top=ranking.DEFAULT_TOP if top is None else top, include_tests=include_tests)
+        with staging(self.spark):
+            return packing.pack(self.index, self.texts, task, budget=limit, top=ranking.DEFAULT_TOP if top is None else top, include_tests=include_tests)
 
     def outline_file(self, path: str) -> str | None:
         return outline.outline_file(self.index, path)
@@ -93,7 +99,8 @@ class Engine:
 
     def neighbors(self, path: str, depth: int = 1) -> dict[str, list[str]]:
         start = self.spark.range(1).select(F.lit(path).alias("start"))
-        rows = graph_neighbors(self.index.edges, start, [], depth).orderBy("direction", "pos").collect()
+        with staging(self.spark):
+            rows = graph_neighbors(self.index.edges, start, [], depth).orderBy("direction", "pos").collect()
         return {d: [r["path"] for r in rows if r["direction"] == d] for d in ("imports", "imported_by")}
 
     def read(self, path: str, start: int | None = None, end: int | None = None, symbol: str | None = None) -> str:

@@ -1,10 +1,12 @@
-"""Persisting an index: Parquet tables swapped in as one directory, and a JSON document of the same content."""
+"""Persisting an index: Parquet tables in a folder of their own, to which a pointer file is switched; and a JSON document.
+
+Everything goes through Hadoop's file systems, so the index may lie wherever Spark can write: a root without a
+scheme is a folder of this machine, any other is taken as it stands.
+"""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from datetime import datetime, timezone
 from pathlib import Path
@@ -16,59 +18,119 @@ from corvane.config import HOME
 from corvane.plans.index import Index
 
 VERSION = 1
-
-
-def _home(root: str | Path) -> Path:
-    return Path(root) / HOME
-
-
-def save_index(root: str | Path, index: Index, texts: DataFrame | None = None) -> Path:
-    """Write the tables beside the old ones and swap the directories, so readers see the old index or the new."""
-    home = _home(root)
-    home.mkdir(parents=True, exist_ok=True)
-    new = home / f"index.tmp-{uuid.uuid4().hex}"
+POINTER = "current"
+TABLES = ("files", "symbols", "imports", "chunks", "postings", "terms", "corpus", "edges")
+
+
+class Folder:
+    """The engine's folder under a root, on any file system."""
+
+    def __init__(self, root: str | Path, spark: SparkSession):
+        base = str(root) if "://" in str(root) else f"file://{Path(root).resolve()}"
+        self.spark, self.base = spark, f"{base.rstrip('/')}/{HOME}"
+        self._jvm = spark.sparkContext._jvm
+        self._configuration = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(self._configuration)
+
+    def _path(self, name: str) -> Any:
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
+
+    def url(self, name: str) -> str:
+        return f"{self.base}/{name}"
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def names(self) -> list[str]:
+        return [f.getPath().getName() for f in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+    def read(self, name: str) -> str | None:
+        if not self.exists(name):
+            return None
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Readers see the file as it was or as it is now."""
+        new = f"{name}.tmp-{uuid.uuid4().hex}"
+        stream = self._fs.create(self._path(new), True)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._configuration).rename(self._path(new), self._path(name), options)
+
+
+def save_index(root: str | Path, index: Index, texts: DataFrame | None = None) -> str:
+    """Write the tables to a new folder, then switch the pointer to it; readers see the old index or the new.
+
+    The index before stays for those that still read it; older ones go.
+    """
+    spark = index.chunks.sparkSession
+    home = Folder(root, spark)
+    version = f"index-{uuid.uuid4().hex}"
     try:
         tables = index.tables() | ({"texts": texts.select(*index.keys, "path", "text")} if texts is not None else {})
         for name, df in tables.items():
             # Postings sorted by term: a query's terms then prune row groups.
             out = df.sortWithinPartitions("term") if name in ("postings", "terms") else df
-            out.write.parquet(str(new / name))
-        counts = {"fileCount": index.files.count(), "chunkCount": index.chunks.count()}
-        meta = {"version": VERSION, "root": str(Path(root).resolve()), "createdAt": int(datetime.now(timezone.utc).timestamp() * 1000), "keys": index.keys} | counts
-        (new / "meta.json").write_text(json.dumps(meta), "utf-8")
-        old, target = home / f"index.old-{uuid.uuid4().hex}", home / "index"
-        if target.exists():
-            os.rename(target, old)
-        os.rename(new, target)
-        shutil.rmtree(old, ignore_errors=True)
-        return target
-    finally:
-        shutil.rmtree(new, ignore_errors=True)
-
-
-def load_meta(root: str | Path) -> dict[str, Any] | None:
-    path = _home(root) / "index" / "meta.json"
+            out.write.parquet(home.url(f"{version}/{name}"))
+        counts = {n: spark.read.parquet(home.url(f"{version}/{t}")).count() for n, t in (("fileCount", "files"), ("chunkCount", "chunks"))}
+        shown = str(root) if "://" in str(root) else str(Path(root).resolve())
+        meta = {"version": VERSION, "root": shown, "createdAt": int(datetime.now(timezone.utc).timestamp() * 1000), "keys": index.keys} | counts
+        home.write(f"{version}/meta.json", json.dumps(meta))
+        before = home.read(POINTER)
+        home.write(POINTER, version)
+    except BaseException:
+        home.remove(version)
+        raise
+    for name in home.names():
+        if name.startswith("index-") and name not in (version, before):
+            home.remove(name)
+    return home.url(version)
+
+
+def _current(home: Folder) -> str | None:
+    version = home.read(POINTER)
+    return version.strip() if version else None
+
+
+def _parsed(text: str, shown: str) -> Any:
     try:
-        return json.loads(path.read_text("utf-8"))
-    except FileNotFoundError:
-        return None
+        return json.loads(text)
     except ValueError as e:
-        raise ValueError(f"invalid JSON in {HOME}/index/meta.json: {e}") from e
+        raise ValueError(f"invalid JSON in {HOME}/{shown}: {e}") from e
+
+
+def load_meta(root: str | Path, spark: SparkSession) -> dict[str, Any] | None:
+    """What is known of the persisted index, ``folder`` among it; None if there is none."""
+    home = Folder(root, spark)
+    version = _current(home)
+    text = home.read(f"{version}/meta.json") if version else None
+    return None if text is None else _parsed(text, f"{version}/meta.json") | {"folder": home.url(version)}
 
 
 def load_index(spark: SparkSession, root: str | Path) -> Index | None:
     """The persisted index, or None if there is none."""
-    meta = load_meta(root)
+    meta = load_meta(root, spark)
     if meta is None:
         return None
-    folder = _home(root) / "index"
-    names = ("files", "symbols", "imports", "chunks", "postings", "terms", "corpus", "edges")
-    return Index(**{n: spark.read.parquet(str(folder / n)) for n in names}, keys=meta["keys"])
+    return Index(**{n: spark.read.parquet(f"{meta['folder']}/{n}") for n in TABLES}, keys=meta["keys"])
 
 
 def load_texts(spark: SparkSession, root: str | Path) -> DataFrame | None:
-    path = _home(root) / "index" / "texts"
-    return spark.read.parquet(str(path)) if path.exists() else None
+    home = Folder(root, spark)
+    version = _current(home)
+    return spark.read.parquet(home.url(f"{version}/texts")) if version and home.exists(f"{version}/texts") else None
 
 
 def index_document(index: Index, meta: dict[str, Any]) -> dict[str, Any]:
@@ -110,18 +172,43 @@ def index_document(index: Index, meta: dict[str, Any]) -> dict[str, Any]:
     }
 
 
-def export_json(root: str | Path, index: Index) -> Path:
+def export_json(root: str | Path, index: Index) -> str:
     """Write the nested document, atomically, as ``index.json``."""
-    meta = load_meta(root) or {"root": str(Path(root).resolve()), "createdAt": int(datetime.now(timezone.utc).timestamp() * 1000)}
-    home = _home(root)
-    home.mkdir(parents=True, exist_ok=True)
-    new = home / f"index.json.tmp-{uuid.uuid4().hex}"
-    try:
-        new.write_text(json.dumps(index_document(index, meta), indent=2, ensure_ascii=False), "utf-8")
-        os.replace(new, home / "index.json")
-    finally:
-        new.unlink(missing_ok=True)
-    return home / "index.json"
+    spark = index.chunks.sparkSession
+    meta = load_meta(root, spark) or {"root": str(root), "createdAt": int(datetime.now(timezone.utc).timestamp() * 1000)}
+    home = Folder(root, spark)
+    home.write("index.json", json.dumps(index_document(index, meta), indent=2, ensure_ascii=False))
+    return home.url("index.json")
+
+
+def import_json(spark: SparkSession, root: str | Path) -> Index | None:
+    """The index of the nested document ``index.json``, None if there is none; it is read on the driver, as it was written."""
+    text = Folder(root, spark).read("index.json")
+    return None if text is None else index_of_document(spark, _parsed(text, "index.json"))
+
+
+def index_of_document(spark: SparkSession, doc: dict[str, Any]) -> Index:
+    """The tables of a nested document, the inverse of ``index_document``."""
+    bm25, graph = doc["bm25"], doc["graph"]
+    files, symbols, imports, chunks = [], [], [], []
+    for n, f in enumerate(doc["files"]):
+        files.append((f["path"], n, f["lang"], f["size"], f["lines"], f["hash"]))
+        symbols += [(f["path"], i, s["name"], s["kind"], s["line"], s["endLine"]) for i, s in enumerate(f["symbols"])]
+        imports += [(f["path"], i, s) for i, s in enumerate(f["imports"])]
+        chunks += [(c["id"], f["path"], n, i, c["startLine"], c["endLine"], c["symbol"], bm25["docLen"].get(c["id"], 0)) for i, c in enumerate(f["chunks"])]
+    importers = {dst: {src: i for i, src in enumerate(srcs)} for dst, srcs in graph["in"].items()}
+    edges = [(src, dst, i, importers.get(dst, {}).get(src)) for src, dsts in graph["out"].items() for i, dst in enumerate(dsts)]
+    tables = {
+        "files": (files, "path string, file_index int, lang string, size long, lines int, hash string"),
+        "symbols": (symbols, "path string, ord int, name string, kind string, line int, end_line int"),
+        "imports": (imports, "path string, ord int, specifier string"),
+        "chunks": (chunks, "chunk_id string, path string, file_index int, chunk_index int, start_line int, end_line int, symbol string, doc_len int"),
+        "postings": ([(c, t, n) for t, listed in bm25["postings"].items() for c, n in listed], "chunk_id string, term string, tf int"),
+        "terms": (list(bm25["df"].items()), "term string, df long"),
+        "corpus": ([(bm25["N"], float(bm25["avgdl"]))], "n long, avgdl double"),
+        "edges": (edges, "src string, dst string, out_pos int, in_pos int"),
+    }
+    return Index(**{name: spark.createDataFrame(rows, schema) for name, (rows, schema) in tables.items()}, keys=[])
 
 
 def results_json(rows: list) -> str:
@@ -131,4 +218,4 @@ def results_json(rows: list) -> str:
     )
 
 
-__all__ = ["export_json", "index_document", "load_index", "load_meta", "load_texts", "results_json", "save_index"]
+__all__ = ["Folder", "export_json", "import_json", "index_document", "index_of_document", "load_index", "load_meta", "load_texts", "results_json", "save_index"]

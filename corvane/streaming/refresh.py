@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corvane.durable import staged
+from corvane.durable import staged, staging
 from corvane.functions.textops import content_hash
 
 
@@ -57,6 +57,10 @@ class FileTable:
         return None if stored is None else stored.drop("bucket")
 
     def upsert(self, batch: DataFrame) -> None:
+        with staging(self.spark):
+            self._upsert(batch)
+
+    def _upsert(self, batch: DataFrame) -> None:
         keyed = batch.where("path is not null").withColumn("hash", content_hash(F.col("text")))
         fresh = staged(newest(keyed, self.keys).withColumn("bucket", F.pmod(F.xxhash64(*self.keys, "path"), F.lit(BUCKETS)).cast("int")), "stream-batch")
         touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS numbers

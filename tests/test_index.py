@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from corvane.functions.textops import split_identifier, tokenize
 from corvane.operators import bm25
 from corvane.operators.budget import check_budget, fit_to_budget
-from corvane.operators.chunking import chunk_ranges, max_lines_of
+from corvane.operators.chunking import chunk_ranges, max_lines_of, ranges_of
 from corvane.operators.graph import build_edges, neighbors
 from corvane.operators.imports import extract_imports, imports_of
 from corvane.operators.outline import outline_rows
-from corvane.operators.ranges import subtract_covered
+from corvane.operators.ranges import sliced_texts, subtract_covered
 from corvane.operators.symbols import extract_symbols, symbols_of
 from corvane.plans.index import build_index
-from corvane.plans.pack import pack
+from corvane.plans.pack import pack, pack_rows, pack_texts
 from corvane.plans.ranking import check_top, fixed, rank, rank_tasks
-from corvane.sources.store import index_document, load_index, load_texts, save_index
+from corvane.sources.store import export_json, import_json, index_document, load_index, load_texts, save_index
 
 REPO = {
     ".gitignore": "skip/\n",
@@ -120,6 +120,30 @@ def test_chunks(spark):
     assert chunk_ranges(f.where("false"), s.where("false"), ["k"]).count() == 0
 
 
+def test_chunks_in_one_row_equal_those_of_the_plan():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(1, 40)
+        symbols = [(f"s{j}", rng.randint(-2, 45), rng.randint(-2, 45)) for j in range(rng.randint(0, 5))]
+        assert [(a, b, s) for a, b, s in ranges_of(n, symbols, 7)] == brute_chunks(n, symbols, 7)
+    assert ranges_of(4, [("b", 1, 4), ("a", 1, 4)]) == [(1, 4, "b")]  # of equal ranges the first in the source
+
+
+def test_sliced_texts(spark):
+    texts = spark.createDataFrame([(1, "a\nb\nc"), (2, None), (3, "")], "k int, text string")
+    ranges = spark.createDataFrame([(1, 1, 2), (1, 1, 2), (1, 0, 9), (1, 3, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1), (1, None, 2)], "k int, start_line int, end_line int")
+    got = sorted((r.k, r.start_line, r.end_line, r.text) for r in sliced_texts(ranges, texts, ["k"]).collect())
+    assert got == [(1, 0, 9, "a\nb\nc"), (1, 1, 2, "a\nb"), (1, 3, 1, ""), (3, 1, 1, "")]
+
+
+def test_packs_of_many_tasks_equal_single_ones(spark, index, texts):
+    tasks = spark.createDataFrame([(1, "sign in", 8000), (2, "sign in", 60), (3, "open query store", 40), (4, "zzz", 10)], "task_id int, task string, budget int")
+    rows = pack_rows(rank_tasks(index, tasks), texts.where("text is not null"), [], 1e18)
+    rows = fit_to_budget(rows.drop("used", "included").join(tasks.select("task_id", "budget"), "task_id"), ["task_id"], ["rank", "start_line"], "tokens", F.col("budget"))
+    got = {r.task_id: r.text for r in pack_texts(rows, tasks, index.files, []).collect()}
+    assert got == {t.task_id: pack(index, texts, t.task, budget=t.budget).text for t in tasks.collect()}
+
+
 def test_graph(spark, index):
     edges = {(r.src, r.dst) for r in index.edges.collect()}
     assert edges == {("src/session.js", "src/store.js"), ("src/api/routes.js", "src/session.js"), ("src/__tests__/session.test.js", "src/session.js")}
@@ -275,13 +299,28 @@ def test_store(spark, tmp_path, index, texts):
     save_index(tmp_path, index, texts.where("text is not null"))
     save_index(tmp_path, index, texts.where("text is not null"))
     again = load_index(spark, tmp_path)
-    assert [p.name for p in (tmp_path / ".corvane").iterdir()] == ["index"]
+    save_index(tmp_path, index, texts.where("text is not null"))
+    home = tmp_path / ".corvane"
+    kept = sorted(p.name for p in home.iterdir() if not p.name.startswith("."))
+    assert len(kept) == 3 and kept[0] == "current" and (home / "current").read_text() in kept[1:]  # the index and the one before
     assert rank(again, "sign in") == rank(index, "sign in") and load_texts(spark, tmp_path).count() == len(REPO)
     doc = index_document(again, {"root": str(tmp_path), "createdAt": 0})
     assert json.loads(json.dumps(doc))["chunkCount"] == index.chunks.count() == len(doc["bm25"]["docLen"])
     assert doc["graph"]["out"]["src/session.js"] == ["src/store.js"] and doc["bm25"]["df"]["signin"] == index.terms.where("term = 'signin'").first().df
     assert sum(n for _, n in doc["bm25"]["postings"]["signin"]) == index.postings.where("term = 'signin'").agg(F.sum("tf")).first()[0]
-    (tmp_path / ".corvane/index/meta.json").write_text("{")
+    assert import_json(spark, tmp_path) is None
+    export_json(tmp_path, index)
+    back = import_json(spark, tmp_path)
+    for name, df in index.tables().items():
+        assert sorted(map(repr, df.select(sorted(df.columns)).collect())) == sorted(map(repr, getattr(back, name).select(sorted(df.columns)).collect())), name
+    assert rank(back, "sign in") == rank(index, "sign in")
+    (home / "index.json").unlink(), (home / ".index.json.crc").unlink(missing_ok=True)
+    (home / "index.json").write_text("{")
+    with pytest.raises(ValueError, match="invalid JSON in .corvane/index.json"):
+        import_json(spark, tmp_path)
+    meta = home / (home / "current").read_text() / "meta.json"
+    meta.unlink(), (meta.parent / ".meta.json.crc").unlink(missing_ok=True)
+    meta.write_text("{")
     with pytest.raises(ValueError, match="invalid JSON"):
         load_index(spark, tmp_path)
 
