@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.durable import staged
 from corvane.functions.textops import tokenize, tokenize_col
 
 K1, B = 1.5, 0.75
+#: Terms of all tasks together that a broadcast may hold.
+BROADCAST_TERMS = 200_000
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])))
@@ -82,6 +85,12 @@ def bm25_scores(
     partitioning.  ``carried`` columns of ``lengths`` come along.
     """
     by = [*keys, "term"]
+    # Postings and counts of other terms drop out before anything is shuffled, if the terms asked for fit a broadcast.
+    terms = staged(terms, "query-terms")
+    asked = terms.select(*by).distinct()
+    if terms.count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
+        dfs, index = dfs.join(asked, by, "left_semi"), index.join(asked, by, "left_semi")
     known = terms.join(dfs, by)
     if keys:
         known = known.join(stats, keys)
