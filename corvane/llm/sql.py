@@ -79,6 +79,31 @@ n AS (SELECT source, count(*) AS documents FROM documents WHERE text IS NOT NULL
 SELECT n.source, documents, coalesce(truncated, 0) AS truncated, round(coalesce(truncated, 0) / documents, 9)::DOUBLE AS rate FROM n LEFT JOIN cut ON n.source IS NOT DISTINCT FROM cut.source
 """
 
+# Words of the rendered page: fixed clean-up, then links, parameters and templates from the inside, one argument a round.
+def _rendered(source: str, key: str, name: str) -> str:
+    def gone(t: str, pattern: str, by: str = "") -> str:
+        return DUCK.replace(t, pattern, by)
+
+    t = "replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+    t = gone(t, r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]")
+    t = gone(gone(t, r"(?i)<ref\b[^<>]*/>"), r"(?is)<ref\b[^<>]*>.*?</ref\s*>")
+    t = gone(t, r"(?i)<!--|-->|</?(?:br|p|div|hr|li|ul|ol|tr|td|th|table|center|blockquote)\b[^<>]*>", " ")
+    t = gone(gone(t, r"</?[a-zA-Z][^<>]*>"), r"'{2,}")
+    t = gone(t, r"\[(?:https?:|ftp:)?//[^\s\]]+\s*([^\]\n]*)\]", r"\1")
+    step = gone("t", r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", r"\1")
+    step = gone(step, r"\{\{\{[^{}|]*\|?([^{}]*)\}\}\}", r"\1")
+    step = gone(step, r"\{\{[^{}|]*\|(?:[^|={}]*=)?([^{}|]*)((?:\|[^{}]*)?)\}\}", r" \1{{\2}}")
+    step = gone(step, r"\{\{[^{}|]*\}\}")
+    return f"""
+{name}_steps AS (SELECT {key}, {t} AS t, 0 AS k FROM {source} WHERE text IS NOT NULL UNION ALL SELECT {key}, {step}, k + 1 FROM {name}_steps WHERE t != {step}),
+{name}_words AS (SELECT {key}, regexp_extract_all(replace(lower(arg_max(t, k)), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS w FROM {name}_steps GROUP BY {key}),
+{name}_windows AS (SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS p FROM {name}_words WHERE len(w) >= 12)"""
+
+
+_LEAKS = f"""WITH RECURSIVE {_rendered("documents", "doc_id", "doc")}, {_rendered("eval_item", "item_id", "item")}
+SELECT doc_id, item_id, count(*)::INT AS windows FROM doc_windows JOIN (SELECT DISTINCT item_id, p FROM item_windows) i USING (p) GROUP BY doc_id, item_id"""
+P6_FOUND = f"SELECT doc_id, item_id FROM ({_LEAKS})"
+
 _MIX = f"""
 targets AS (SELECT source, max(weight) AS weight, max(max_repeat) AS max_repeat FROM mix_target WHERE source IS NOT NULL GROUP BY source),
 docs AS (SELECT doc_id, source, {_UNITS.format("text")}::BIGINT AS tokens FROM documents WHERE text IS NOT NULL),
@@ -105,4 +130,4 @@ SELECT source, weight, size, max_repeat, size * max_repeat < weight * total AS s
     round(coalesce(coalesce(t, 0) / nullif(sum(coalesce(t, 0)) OVER (), 0), 0), 9)::DOUBLE AS share FROM blocked LEFT JOIN got USING (source)
 """
 
-SQL = {"p1_found": P1_FOUND, "p2_copies": P2_COPIES, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p7_found": P7_FOUND, "p7_mixed": P7_MIXED, "p7_shares": P7_SHARES, "p8_found": P8_FOUND, "p8_rates": P8_RATES}
+SQL = {"p1_found": P1_FOUND, "p2_copies": P2_COPIES, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p6_found": P6_FOUND, "p6_leaks": _LEAKS, "p7_found": P7_FOUND, "p7_mixed": P7_MIXED, "p7_shares": P7_SHARES, "p8_found": P8_FOUND, "p8_rates": P8_RATES}
