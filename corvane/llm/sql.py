@@ -1,5 +1,9 @@
 """The same results in SQL, for the queries that SQL can express on whole tables."""
 
+import re
+
+from corvane.functions.lang import EXTENSIONS
+from corvane.llm import generated_files as G
 from corvane.llm import truncation
 from corvane.llm.dialect import DUCK
 
@@ -21,6 +25,7 @@ SELECT cand_id, term FROM tf JOIN df USING (term) WHERE n >= 4 AND df BETWEEN 2
 """
 
 # Shingles of five words of a file without the comments at its head, joined file to file.
+_LANG = f"map {{{', '.join(f'{DUCK.quoted(e)}: {DUCK.quoted(g)}' for e, g in EXTENSIONS.items())}}}[regexp_extract(lower(split_part(path, '/', -1)), '\\.[^.]*$')]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 P2_COPIES = rf"""
 WITH texts AS (SELECT file_id, coalesce('r' || repo, 'f' || file_id) AS repo, content, string_split(content, chr(10)) AS rows FROM files JOIN file_text USING (file_id) WHERE content IS NOT NULL),
@@ -36,6 +41,54 @@ alike AS (SELECT x, c / (p.n + q.n - c) AS jaccard FROM shared JOIN sizes p ON p
 SELECT x AS file_id, round(max(jaccard), 6)::DOUBLE AS copy_similarity FROM alike WHERE jaccard >= 0.8 GROUP BY x
 """
 
+# The layout statistics and marks of each file, and what decides, as in generated_files; RE2 knows neither look-ahead nor possessive repeats.
+def _limits(name: str) -> str:
+    usual = getattr(G.DEFAULT_LIMITS, name)
+    cases = "".join(f" WHEN lang = '{lang}' THEN {getattr(v, name)}::DOUBLE" for lang, v in G.LIMITS.items() if getattr(v, name) != usual)
+    return f"CASE{cases} ELSE {usual}::DOUBLE END" if cases else f"{usual}::DOUBLE"
+
+
+def _re(pattern: re.Pattern | str) -> str:
+    """A pattern of Python's as a quoted one of RE2."""
+    flags = "(?i)" if isinstance(pattern, re.Pattern) and pattern.flags & re.I else ""
+    text = pattern.pattern if isinstance(pattern, re.Pattern) else pattern
+    text = text.replace("by\\s+(?!hand\\b)", "by\\s+").replace("(?>", "(?:").replace("*+", "*").replace("++", "+").replace("}+", "}")
+    return DUCK.quoted(flags + text)
+
+
+_IS_COMMENT = r"""(regexp_matches({0}, '^\s*(//|/\*|\*|--|<!--|;|[''"]{{3}})') OR regexp_matches({0}, '^\s*#') AND NOT regexp_matches({0}, '^\s*#(include|define|if|endif|pragma|\[)'))"""
+_NO_STRINGS = DUCK.replace("r", G._STRING.pattern, "")
+_CODE_OF = "CASE WHEN length(r) > 200 THEN regexp_replace(r, " + _re("^" + G._ASSIGNED.pattern) + ", '') ELSE r END"
+_HEAD = r"""^(?:[^\S\n]*\n|\s*/\*(?s:.*?)\*/[^\n]*(?:\n|$)|\s*<!--(?s:.*?)-->[^\n]*(?:\n|$)|\s*"{3}(?s:.*?)"{3}[^\n]*(?:\n|$)|\s*'{3}(?s:.*?)'{3}[^\n]*(?:\n|$)|\s*(?:<\?|package\b|["']use strict["'])[^\n]*(?:\n|$)|\s*(?:#(?:[^idep\[\n][^\n]*)?|#(?:i[^nf]|d[^e]|e[^n]|p[^r])[^\n]*|//[^\n]*|\*[^\n]*|--[^\n]*|;[^\n]*)(?:\n|$))*"""
+_MADE = f"regexp_matches(regexp_replace(r, '(?i)\\bby\\s+hand\\b', 'hand', 'g'), {_re(G._MADE)})"
+_PATH = "coalesce(path, '')"
+P2_FOUND = f"""
+{P2_COPIES.replace(")\nSELECT x AS file_id", "),\ncopies AS (SELECT x AS file_id", 1).rstrip()}),
+src AS (SELECT file_id, path, coalesce(lower(files.lang), {_LANG}, 'text') AS lang, content, string_split(content, chr(10)) AS rows FROM files JOIN file_text USING (file_id) WHERE content IS NOT NULL),
+full_rows AS (SELECT file_id, unnest(list_filter(rows, lambda r: NOT regexp_matches(r, '^\\s*$'))) AS r FROM src),
+per_row AS (SELECT file_id, length(r) AS n, ceil(length(r) / 200.0) AS units, CASE WHEN length(r) > 200 AND NOT {_IS_COMMENT.format("r")} AND length({_NO_STRINGS}) > 200 THEN length({_NO_STRINGS}) ELSE 0 END AS in_long,
+    regexp_full_match({_CODE_OF}, {_re(G._LITERAL_LINE)}) AS literal, length(r) < 1000 AND regexp_matches(r, {_re(G._ACCESSOR)}) AS accessor FROM full_rows),
+layout AS (SELECT file_id, max(n) AS max_line, avg(n) AS mean_line, sum(in_long) / greatest(1, sum(n)) AS long_share, coalesce(sum(units) FILTER (literal), 0) AS literal_lines,
+    coalesce(sum(units) FILTER (literal), 0) / greatest(1, sum(units)) AS literal_share, count(*) FILTER (accessor) / count(*) AS accessor_share FROM per_row GROUP BY file_id),
+chars AS (SELECT file_id, greatest(1, strlen(content)) AS size, length(content) AS n, strlen(content) - length(regexp_replace(content, '[\\x00-\\x7F]', '', 'g')) AS a0,
+    length(content) - length(regexp_replace(content, '[\\x09-\\x0D ]', '', 'g')) AS spaces, length(content) - length(regexp_replace(content, '[0-9]', '', 'g')) AS digits,
+    strlen(regexp_replace(content, '[\\x00-/:-@\\[-`{{-\\x7F]', '', 'g')) AS alnum,
+    coalesce(list_sum(list_transform(regexp_extract_all(content, '[A-Za-z0-9+/=_-]{{160,}}'), lambda x: length(x))), 0) / greatest(1, length(content)) AS encoded_share FROM src),
+head_of AS (SELECT file_id, rows, string_split(regexp_extract(content, {DUCK.quoted(_HEAD)}), chr(10)) AS h FROM src),
+head_rows AS (SELECT file_id, unnest(list_concat(list_filter(h, lambda r: NOT regexp_matches(r, '^\\s*(<\\?|package\\b)')),
+    list_filter(rows[greatest(len(h), len(rows) - 5):], lambda r: {_IS_COMMENT.format("r")}))) AS r FROM head_of),
+marked AS (SELECT file_id, CASE WHEN regexp_matches(r, {_re(G._UNMADE)}) THEN 'hand' WHEN {_MADE} THEN 'made' WHEN regexp_matches(r, {_re(G._COPIED)}) THEN 'copied' END AS m FROM head_rows),
+marks AS (SELECT file_id, bool_or(m = 'hand') AS hand, bool_or(m = 'made') AS made, bool_or(m = 'copied') AS copied FROM marked GROUP BY file_id),
+judged AS (SELECT file_id, lang != 'text' AS code, {_PATH} AS path, coalesce(hand, false) AS hand, coalesce(made, false) AS made, coalesce(copied, false) AS copied, copy_similarity, accessor_share,
+    long_share >= {_limits("long_share")} AND mean_line >= {_limits("mean_line")} OR spaces / size <= {_limits("space_share")} AND max_line > 200 AND long_share >= {G.SOME_LONG}
+        OR regexp_matches({_PATH}, {_re(G.MINIFIED_PATH)}) AND mean_line >= 80 AS minified,
+    literal_lines >= {_limits("literal_lines")} AND (literal_share >= {_limits("literal_share")} OR digits / size >= {_limits("digit_share")} AND literal_share >= {G.HALF_LITERAL})
+        OR encoded_share >= {_limits("encoded_share")} OR alnum / size >= {_limits("alnum_share")} AND spaces / size <= {_limits("space_share")} AS data
+    FROM src JOIN chars USING (file_id) LEFT JOIN layout USING (file_id) LEFT JOIN marks USING (file_id) LEFT JOIN copies USING (file_id))
+SELECT DISTINCT file_id FROM judged WHERE code AND coalesce(minified OR data, false) OR made OR NOT hand AND code AND (regexp_matches(path, {_re(G.GENERATED_PATH)}) OR coalesce(accessor_share >= {G.ACCESSOR_SHARE}, false))
+    OR copied OR regexp_matches(path, {_re(G.VENDORED_PATH)}) OR copy_similarity IS NOT NULL
+"""
+
 P4_FOUND = f"""
 WITH c AS (SELECT DISTINCT cand_id, start_line AS s, code FROM candidate WHERE code IS NOT NULL),
 t AS (SELECT chunk_id, array_to_string(list_slice(string_split(code, chr(10)), i.start_line - s + 1, i.end_line - s + 1), chr(10)) AS text
@@ -130,4 +183,4 @@ SELECT source, weight, size, max_repeat, size * max_repeat < weight * total AS s
     round(coalesce(coalesce(t, 0) / nullif(sum(coalesce(t, 0)) OVER (), 0), 0), 9)::DOUBLE AS share FROM blocked LEFT JOIN got USING (source)
 """
 
-SQL = {"p1_found": P1_FOUND, "p2_copies": P2_COPIES, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p6_found": P6_FOUND, "p6_leaks": _LEAKS, "p7_found": P7_FOUND, "p7_mixed": P7_MIXED, "p7_shares": P7_SHARES, "p8_found": P8_FOUND, "p8_rates": P8_RATES}
+SQL = {"p1_found": P1_FOUND, "p2_copies": P2_COPIES, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_terms": P5_TERMS, "p6_found": P6_FOUND, "p6_leaks": _LEAKS, "p7_found": P7_FOUND, "p7_mixed": P7_MIXED, "p7_shares": P7_SHARES, "p8_found": P8_FOUND, "p8_rates": P8_RATES}
