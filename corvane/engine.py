@@ -71,7 +71,7 @@ class Engine:
         meta = load_meta(self.root, self.spark)
         if meta is None:
             if self._index is None:
-                raise NoIndex("No index found for this tree. Run `corvane index` first to build one.")
+                raise NoIndex("This tree has no index yet; `corvane index` builds it.")
             return self._index
         if meta["folder"] != self._stamp:
             self._index, self._texts, self._stamp = load_index(self.spark, self.root), load_texts(self.spark, self.root), meta["folder"]
@@ -107,10 +107,10 @@ class Engine:
         """Numbered lines of a file, by range or by the first symbol of a name."""
         if symbol:
             if not self.index.files.where(F.col("path") == path).limit(1).count():
-                raise ValueError(f"file not found in index: {path}")
+                raise ValueError(f"not an indexed file: {path}")
             found = self.index.symbols.where((F.col("path") == path) & (F.col("name") == symbol)).orderBy("ord").limit(1).collect()
             if not found:
-                raise ValueError(f'symbol "{symbol}" not found in {path}')
+                raise ValueError(f'{path} declares no "{symbol}"')
             start, end = found[0]["line"], found[0]["end_line"]
         rows = safe_resolve(self.root, path).read_text("utf-8", "replace").split("\n")
         first = 1 if start is None else start

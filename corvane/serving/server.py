@@ -35,14 +35,14 @@ def _check_params(method: str, msg: dict) -> None:
     if method not in METHODS:
         return
     if method == "tools/call" and not given:
-        raise RpcError(INVALID_PARAMS, "Invalid params: tools/call requires a params object")
+        raise RpcError(INVALID_PARAMS, "tools/call comes without its params")
     if given and not isinstance(params, dict):
-        raise RpcError(INVALID_PARAMS, f"Invalid params for {method}: expected an object")
+        raise RpcError(INVALID_PARAMS, f"the params of {method} are no object")
     if method == "tools/call":
         if not isinstance(params.get("name"), str):
-            raise RpcError(INVALID_PARAMS, 'Invalid params: tools/call requires a string "name"')
+            raise RpcError(INVALID_PARAMS, "the tool's name must be a string")
         if "arguments" in params and not isinstance(params["arguments"], dict):
-            raise RpcError(INVALID_PARAMS, 'Invalid params: tools/call "arguments" must be an object')
+            raise RpcError(INVALID_PARAMS, "the tool's arguments are no object")
 
 
 def _dispatch(method: str, params: dict, engine: Engine) -> dict:
@@ -54,7 +54,7 @@ def _dispatch(method: str, params: dict, engine: Engine) -> dict:
         return {"tools": TOOLS}
     if method == "tools/call":
         return {"content": [{"type": "text", "text": call_tool(params["name"], params.get("arguments"), engine)}]}
-    raise RpcError(METHOD_NOT_FOUND, f"Method not found: {method}")
+    raise RpcError(METHOD_NOT_FOUND, f"no such method here: {method}")
 
 
 def handle(line: str, engine: Engine) -> dict | None:
@@ -64,13 +64,13 @@ def handle(line: str, engine: Engine) -> dict | None:
     try:
         msg = json.loads(line)
     except ValueError:
-        return _error(None, PARSE_ERROR, "Parse error")
+        return _error(None, PARSE_ERROR, "not a line of JSON")
     if not isinstance(msg, dict) or msg.get("jsonrpc") != "2.0":
-        return _error(None, INVALID_REQUEST, "Invalid Request")
+        return _error(None, INVALID_REQUEST, "not a JSON-RPC 2.0 request")
     if "method" not in msg and ("result" in msg or "error" in msg):
         return None
     if not isinstance(msg.get("method"), str) or "id" in msg and not _valid_id(msg["id"]):
-        return _error(None, INVALID_REQUEST, "Invalid Request")
+        return _error(None, INVALID_REQUEST, "not a JSON-RPC 2.0 request")
     if "id" not in msg:
         return None
     try:
@@ -87,7 +87,7 @@ def serve(engine: Engine, source: TextIO = sys.stdin, sink: TextIO = sys.stdout)
     try:
         engine.build_if_missing()
     except Exception as e:  # noqa: BLE001 - the server starts without an index
-        print(f"corvane: failed to prepare index: {e}", file=sys.stderr)
+        print(f"corvane: starting without an index: {e}", file=sys.stderr)
     for line in source:
         reply = handle(line, engine)
         if reply is None:

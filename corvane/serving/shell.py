@@ -10,7 +10,7 @@ from corvane.plans.ranking import Result, fixed
 from corvane.serving.color import styler
 from corvane.serving.tools import result_line
 
-HELP = "type a query · a number opens that result · p <query> packs · q quits"
+HELP = "Words search. A number shows that result, p and words pack them, q ends."
 
 
 def preview(engine: Engine, r: Result) -> str:
@@ -40,13 +40,13 @@ def run(engine: Engine, top: int | None = None, source: TextIO = sys.stdin, sink
                 print(f"{bundle.text}\n~{bundle.tokens} tokens, {len(bundle.included)} chunk(s)", file=sink)
             elif line.isdecimal():
                 k = int(line) - 1
-                print(preview(engine, last[k]) if 0 <= k < len(last) else f"no result #{line} — run a query first", file=sink)
+                print(preview(engine, last[k]) if 0 <= k < len(last) else f"there is no result {line} to open", file=sink)
             elif line:
                 last = engine.query(line, top=limit)
                 for i, r in enumerate(last, 1):
                     print(f"{i:>2}  {result_line(r, lambda s: fixed(s, 2), style)}", file=sink)
                 if not last:
-                    print("no matches", file=sink)
+                    print("nothing found", file=sink)
         except Exception as e:  # noqa: BLE001 - the shell goes on
             print(f"error: {e}", file=sink)
-    print("bye", file=sink)
+    print("closed", file=sink)

@@ -44,13 +44,13 @@ def result_line(r: Result, score: Callable[[float], str] = shown_score, style: C
 def _text(args: dict, name: str, tool: str) -> str:
     value = args.get(name)
     if not isinstance(value, str) or not value:
-        raise ValueError(f'{tool} requires a non-empty "{name}" string argument')
+        raise ValueError(f'{tool}: "{name}" must be given as text')
     return value
 
 
 def _search(args: dict, engine: Engine) -> str:
     results = engine.query(_text(args, "query", "corvane_search"), top=args.get("top"))
-    return "\n".join(map(result_line, results)) or "(no results)"
+    return "\n".join(map(result_line, results)) or "nothing found"
 
 
 def _outline(args: dict, engine: Engine) -> str:
@@ -62,13 +62,13 @@ def _outline(args: dict, engine: Engine) -> str:
 
 def _read(args: dict, engine: Engine) -> str:
     if not args.get("path"):
-        raise ValueError('corvane_read requires a "path" argument')
+        raise ValueError('corvane_read: which file? give its "path"')
     return engine.read(relative(args["path"]), args.get("startLine"), args.get("endLine"), args.get("symbol"))
 
 
 def _neighbors(args: dict, engine: Engine) -> str:
     if not args.get("path"):
-        raise ValueError('corvane_neighbors requires a "path" argument')
+        raise ValueError('corvane_neighbors: which file? give its "path"')
     depth = args.get("depth")
     found = engine.neighbors(relative(args["path"]), 1 if depth is None else int(depth))
     rows = [f"imports ({len(found['imports'])}):", *(f"  {p}" for p in found["imports"])]
@@ -84,5 +84,5 @@ _CALLS = {"corvane_search": _search, "corvane_outline": _outline, "corvane_read"
 
 def call_tool(name: str, args: dict | None, engine: Engine) -> str:
     if name not in _CALLS:
-        raise ValueError(f"unknown tool: {name}")
+        raise ValueError(f"there is no tool {name}")
     return _CALLS[name](args or {}, engine)

@@ -1,6 +1,10 @@
 """The registered queries against their SQL on a small table folder."""
 
 import importlib
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -10,7 +14,10 @@ from corvane.queries import QUERIES
 from corvane.queries_sql import SQL
 
 D = "/root/testdata/sf0.001"
-NAMES = ["tokenize_tf", "identifier_split", "token_estimate", "lang_detect", "source_priorities", "ignore_filter", "symbol_extract", "chunk_with_symbols", "graph_edges", "bm25_score", "rank_full", "pack_trimmed", "outline_tree"]
+NAMES = [
+    "tokenize_tf", "identifier_split", "token_estimate", "lang_detect", "source_priorities", "ignore_filter", "symbol_extract", "chunk_with_symbols", "graph_edges", "bm25_score", "rank_full", "pack_trimmed", "pack_text", "outline_tree", "outline_files", "rank_reasons",
+    "import_extract", "numbered_lines", "posix_paths", "file_numbers", "neighbors_depth5", "tree_scan", "index_chunks", "line_slice",
+]
 
 
 def rows(columns, data):
@@ -44,3 +51,15 @@ def test_entry_without_the_subpackage(monkeypatch):
 
     monkeypatch.setattr(importlib, "import_module", missing)
     assert set(entry.queries()) == set(QUERIES)
+
+
+def test_the_rest_works_with_the_subpackage_deleted(tmp_path):
+    """A copy without the training-data operators and their tests registers and runs the engine's own queries."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(here, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache", ".hypothesis"))
+    code = (
+        "import __spark_entry__ as e; from pyspark.sql import SparkSession; from corvane.queries import QUERIES; assert set(e.queries()) == set(QUERIES); "
+        f"print(e.queries()['lang_statistics'](SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(), '{D}').count())"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0 and int(out.stdout.split()[-1]) > 0, out.stderr[-2000:]

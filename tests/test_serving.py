@@ -100,7 +100,7 @@ def test_index_command_and_api(spark, tmp_path):
 def test_tools(engine):
     assert [t["name"] for t in TOOLS] == ["corvane_search", "corvane_outline", "corvane_read", "corvane_neighbors", "corvane_pack"]
     assert call_tool("corvane_search", {"query": "login", "top": 1}, engine).startswith("src/login.js:L3-6 [login]")
-    assert call_tool("corvane_search", {"query": "zzz"}, engine) == "(no results)"
+    assert call_tool("corvane_search", {"query": "zzz"}, engine) == "nothing found"
     assert call_tool("corvane_outline", {}, engine).splitlines() == ["src/", "  db.js (function db)", "  login.js (function login)", "README.md"]
     assert call_tool("corvane_outline", {"path": "nope"}, engine) == "(no files under nope)"
     assert call_tool("corvane_read", {"path": "./src/db.js", "symbol": "db"}, engine).splitlines()[0] == "1: export function db(user) {"
@@ -108,7 +108,7 @@ def test_tools(engine):
     assert call_tool("corvane_read", {"path": "src/db.js", "startLine": 9}, engine) == ""
     assert call_tool("corvane_neighbors", {"path": "src/db.js"}, engine).splitlines() == ["imports (0):", "importedBy (1):", "  src/login.js"]
     assert call_tool("corvane_pack", {"task": "login", "budget": 0}, engine).startswith("# corvane pack: login")
-    for args, message in (({"path": "../x"}, "path escapes root"), ({"path": "src/db.js", "symbol": "no"}, 'symbol "no" not found'), ({}, 'requires a "path"')):
+    for args, message in (({"path": "../x"}, "path escapes root"), ({"path": "src/db.js", "symbol": "no"}, 'declares no "no"'), ({}, 'give its "path"')):
         with pytest.raises(ValueError, match=message):
             call_tool("corvane_read", args, engine)
 
@@ -141,7 +141,7 @@ def test_shell(engine):
     out = io.StringIO()
     shell.run(engine, source=io.StringIO("login\n1\n99\np login\nzzz\nhelp\nq\n"), sink=out)
     text = out.getvalue()
-    assert "│ 3  export function login(user) {" in text and "no result #99" in text and "# corvane pack: login" in text and "no matches" in text and text.endswith("bye\n")
+    assert "│ 3  export function login(user) {" in text and "no result 99" in text and "# corvane pack: login" in text and "nothing found" in text and text.endswith("closed\n")
 
 
 def test_changed_files(spark):
