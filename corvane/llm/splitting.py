@@ -28,6 +28,7 @@ from corvane.functions.textops import lines, utf16_units
 LIMIT_TOKENS = 384
 OVERLAP_LINES = 3
 OVERLAP_CHARS = 40
+BROADCAST_CHUNKS = 1_000_000
 #: Share of the span, on either side of its midpoint, in which a cut is looked for.
 NEAR = 0.25
 
@@ -159,9 +160,12 @@ def chunk_texts(included: DataFrame, candidates: DataFrame) -> DataFrame:
     """(chunk_id, start_line, end_line, text): each chunk's lines, cut from its candidate's code, once per chunk.
 
     Chunks whose candidate is missing or unreadable, or whose range lies outside it, have no text and are left out.
-    The join is a plain equi-join on cand_id, so a candidate with very many chunks is split by adaptive execution.
+    The chunks, four numbers each, are broadcast up to ``BROADCAST_CHUNKS`` of them, so that no code is shuffled; beyond
+    that the join is a plain equi-join on cand_id, and a candidate with very many chunks is split by adaptive execution.
     """
     c = included.select("chunk_id", "cand_id", "start_line", "end_line").where("cand_id is not null and start_line is not null and end_line is not null")
+    if c.count() <= BROADCAST_CHUNKS:
+        c = F.broadcast(c)
     code = candidates.where("code is not null and start_line is not null").select("cand_id", F.col("start_line").alias("_from"), "code")
     rows = lines(F.col("code"))
     first = F.greatest(F.lit(1), F.col("start_line") - F.col("_from") + 1)

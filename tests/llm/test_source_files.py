@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corvane.llm import function_docs
+from corvane.llm import function_docs, splitting
 from corvane.llm.function_docs import documented_functions, pairs_of, prose_words
 from corvane.llm.generated_files import FEATURES, file_features, judged_files, shingle_sample
 from corvane.llm.splitting import oversized_pieces, split_text, units
@@ -316,7 +316,7 @@ def test_long_lines_are_cut_at_boundaries_far_from_the_middle():
     assert check_pieces("a" * 800 + " " + "b" * 190 + "," + "c" * 1000)[0]["text"] == "a" * 800 + " "
 
 
-def test_oversized_pieces(spark):
+def test_oversized_pieces(spark, monkeypatch):
     code = "\n".join(f"line {i} of the code here" for i in range(200))
     chunks = spark.createDataFrame(
         [(1, 10, 5, 204, 1), (2, 10, 5, 10, 1), (3, 11, 1, 5, 1), (4, 99, 1, 5, 1), (5, 10, 100, 400, 1), (6, 10, None, 4, 1), (1, 10, 5, 204, 1)], "chunk_id long, cand_id long, start_line int, end_line int, code int"
@@ -329,3 +329,5 @@ def test_oversized_pieces(spark):
     for r in one:
         assert r.text == "\n".join(code.split("\n")[r.start_line - 5 : r.end_line - 4])
     assert oversized_pieces(chunks.where("false"), cand).count() == 0
+    monkeypatch.setattr(splitting, "BROADCAST_CHUNKS", 0)
+    assert oversized_pieces(chunks, cand).orderBy("chunk_id", "piece").collect() == got
