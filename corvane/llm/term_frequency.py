@@ -110,9 +110,10 @@ def _level(rows: DataFrame, parents: int, used: int, bits: int, part_bytes: int)
     by = rows.withColumn("_r", F.shiftleft("_p", bits) + _bits("_h", used, bits))
     sizes = by.groupBy("_r").agg(F.sum("_w").alias("_size"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
     # A partition of one hash can't be split, and needs no more memory however many rows it has.
-    large = sizes.where((F.col("_size") > part_bytes) & (F.col("_lo") != F.col("_hi"))).select("_r", (F.row_number().over(W.orderBy("_r")) - 1).cast("long").alias("_next"))
-    large = staged(large, "large-partitions")  # read three times below; as many rows as partitions at most
+    large = sizes.where((F.col("_size") > part_bytes) & (F.col("_lo") != F.col("_hi"))).select("_r")
     n = large.count()
+    if n:  # read twice below; as many rows as partitions at most
+        large = staged(large.select("_r", (F.row_number().over(W.orderBy("_r")) - 1).cast("long").alias("_next")), "large-partitions")
     fits = by.join(large, "_r", "left_anti") if n else by
     sums = fits.repartitionById(parents << bits, F.col("_r").cast("int")).select(*SCHEMA.names).mapInArrow(_aggregate, PARTIAL)
     if not n:
@@ -121,19 +122,19 @@ def _level(rows: DataFrame, parents: int, used: int, bits: int, part_bytes: int)
     return [sums, *_level(over, n, used + bits, min(SPLIT_BITS, 64 - used - bits), part_bytes)]
 
 
-def radix_sums(partial: DataFrame, part_bytes: int | None = None) -> DataFrame:
-    """Sum ``partial`` (term, occurrences, records) by term."""
+def radix_sums(partial: DataFrame, part_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """Sums of ``partial`` (term, occurrences, records) by term, and the records of its rows without a term."""
     part_bytes = PART_BYTES if part_bytes is None else part_bytes
     weight = F.coalesce(F.octet_length("term"), F.lit(0)).cast("long") + ROW_BYTES
     keyed = staged(partial.select(*SCHEMA.names, F.xxhash64("term").alias("_h"), weight.alias("_w")), "partial-terms")  # read twice a level
-    size = keyed.agg(F.sum("_w")).first()[0] or 0
+    size, total = keyed.agg(F.sum("_w"), F.sum(F.when(F.col("term").isNull(), F.col("records")))).first()
     at_least = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Twice the partitions that the size asks for, so that an even spread leaves none too large.
-    bits = math.ceil(math.log2(max(1, 2 * size / part_bytes, at_least)))
+    bits = math.ceil(math.log2(max(1, 2 * (size or 0) / part_bytes, at_least)))
     first, *more = _level(keyed.withColumn("_p", F.lit(0).cast("long")), 1, 0, bits, part_bytes)
     for sums in more:
         first = first.unionByName(sums)
-    return first
+    return first.where("term is not null"), int(total or 0)
 
 
 def term_frequencies(
@@ -149,8 +150,6 @@ def term_frequencies(
         values = distinct_records(df, id_col, value_col).select("value")
     else:
         values = df.select(F.col(value_col).alias("value")).where("value is not null")
-    sums = radix_sums(values.mapInArrow(_gather(of_list if is_list else of_text), PARTIAL))
-    sums = staged(sums, "term-sums")  # read for the number of records and for the verdicts
-    total = sums.where("term is null").agg(F.sum("records")).first()[0] or 0
-    verdict = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > F.lit(common_share) * F.lit(int(total)), "common")
-    return sums.where("term is not null").withColumn("verdict", verdict)
+    sums, total = radix_sums(values.mapInArrow(_gather(of_list if is_list else of_text), PARTIAL))
+    verdict = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > F.lit(common_share) * F.lit(total), "common")
+    return sums.withColumn("verdict", verdict)
