@@ -105,7 +105,10 @@ def _bounds(ends: str, places: str) -> tuple[str, str]:
 
 
 def judged_trigrams(q: Dialect, last: str, counts: str) -> str:
-    """Trigrams that end some text, their places and other ends at four levels, and whether an end in them is a cut."""
+    """Trigrams that end some text, their places and other ends at four levels, and whether an end in them is a cut.
+
+    Tables of trigrams grow with the texts, so hints keep Spark from broadcasting them.
+    """
 
     def coarse(c: str) -> str:
         return f"CASE WHEN length({c}) <= 3 AND {q.matches(c, '^' + chr(92) + 'p{Ll}+' + chr(92) + 'z')} THEN 'w' ELSE {c} END"
@@ -118,24 +121,24 @@ def judged_trigrams(q: Dialect, last: str, counts: str) -> str:
     return f"""
     WITH tails AS (SELECT a, b, c, ending, count(DISTINCT whole) AS texts FROM {last} WHERE c IS NOT NULL GROUP BY a, b, c, ending),
     stops AS (SELECT a, b, c, count(*) AS e, sum(texts) AS texts FROM tails GROUP BY a, b, c),
-    fine AS (SELECT t.a, t.b, t.c, t.n - coalesce(texts, 0) AS inside, coalesce(e, 0) AS ends,
+    fine AS (SELECT /*+ MERGE(stops) */ t.a, t.b, t.c, t.n - coalesce(texts, 0) AS inside, coalesce(e, 0) AS ends,
             {coarse("t.a")} AS ca, {coarse("t.b")} AS cb, {coarse("t.c")} AS cc
         FROM {counts} t LEFT JOIN stops ON t.a = stops.a AND t.b = stops.b AND t.c = stops.c),
     pairs AS (SELECT a, b, sum(inside) AS after FROM fine GROUP BY a, b),
     three AS (SELECT ca, cb, cc, sum(inside) AS inside3, sum(ends) AS ends3 FROM fine GROUP BY ca, cb, cc),
     two AS (SELECT cb, cc, sum(inside3) AS inside2, sum(ends3) AS ends2 FROM three GROUP BY cb, cc),
     one AS (SELECT cc, sum(inside2) AS inside1, sum(ends2) AS ends1 FROM two GROUP BY cc)
-    SELECT a, b, c, CASE WHEN {upper} < {MAX_END_RATE} THEN true WHEN {lower} > {END_RATE} THEN false
+    SELECT /*+ MERGE(three) */ a, b, c, CASE WHEN {upper} < {MAX_END_RATE} THEN true WHEN {lower} > {END_RATE} THEN false
         WHEN {upper3} < {MAX_END_RATE} THEN true WHEN {lower3} > {END_RATE} OR {lower2} > {END_RATE} THEN false
         ELSE {upper1} < {END_RATE} AND (ends1 - 1.0) / (inside1 + ends1 - 1.0) < {MAX_END_RATE} END AS internal
-    FROM (SELECT fine.*, CASE WHEN c = cc THEN inside ELSE after END AS before FROM fine JOIN pairs USING (a, b) WHERE ends > 0) f
+    FROM (SELECT /*+ MERGE(pairs) */ fine.*, CASE WHEN c = cc THEN inside ELSE after END AS before FROM fine JOIN pairs USING (a, b) WHERE ends > 0) f
     JOIN three USING (ca, cb, cc) JOIN two USING (cb, cc) JOIN one USING (cc)"""
 
 
 def placed_texts(last: str, judged: str) -> str:
     """The last trigrams with their verdicts."""
     return f"""
-    SELECT doc_id, source, chars, bytes, ending, marked, is_open, d.c, coalesce(internal, false) AS internal
+    SELECT /*+ MERGE(j) */ doc_id, source, chars, bytes, ending, marked, is_open, d.c, coalesce(internal, false) AS internal
     FROM {last} d LEFT JOIN {judged} j ON d.a = j.a AND d.b = j.b AND d.c = j.c"""
 
 
