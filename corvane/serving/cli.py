@@ -53,7 +53,7 @@ def _run(a: argparse.Namespace) -> None:
         if a.json:
             export_json(engine.root, engine.index)
         files, chunks, _ = engine.stats()
-        print(f"indexed {files} files, {chunks} chunks → {HOME}/index")
+        print(f"indexed {files} files, {chunks} chunks → {HOME}")
     elif a.command == "ask":
         results = engine.query(" ".join(a.task), top=engine.config.top if a.top is None else a.top, include_tests=a.tests)
         print(results_json(results) if a.json else "\n".join(result_line(r, lambda s: fixed(s, 2), styler(sys.stdout)) for r in results))
